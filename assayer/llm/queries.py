@@ -7,13 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_documents
 from .common import table
 from .exact_dedup import exact_dedup
+from .lattice import score_documents
+from .media import media_round_trip
+from .packing import pack_documents
 from .simhash import simhash_groups
 
+#: Learn from rows whose remainder isn't 2; a null id counts as the empty string.
+LM_TRAIN = "crc32(coalesce(cast(doc_id AS string), '')) % 7 <> 2"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), LM_TRAIN).drop("rid")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = media_round_trip(table(spark, sf_dir, "documents"))
+    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("hash")).alias("feature"), "error")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("rid")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return bpe_documents(documents, vocabulary("byte_bpe_50k.json"), outputs=("ids_sha256", "decoded_sha256")).drop("rid")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
@@ -33,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_lattice": op4_lattice,
+        "op5_media": op5_media,
+        "op6_packing": op6_packing,
+        "op9_bpe": op9_bpe,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_simhash": op10_simhash,
     }
