@@ -18,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row_key
-
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 SAMPLE, CLASSES = 1200, 64
 ROUNDS, BATCH, RATE, SEED = 8, 64, 0.01, 7
@@ -155,12 +153,13 @@ def text_scores(net: ByteCnn, tables: list[np.ndarray], data: np.ndarray, ends:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
-    """rid, the columns passed, lang_pred and score for each row. Texts that are null or have no letter
-    are `und` with score 0, and so is every text if nothing was learned."""
-    rows = with_row_key(docs.select(*[F.col(c).alias(f"_{c}") for c in passed], F.col(text).alias("_text")))
-    rows = rows.withColumn("_text", F.when(F.col("_text").rlike(r"\p{L}"), F.col("_text")).otherwise(""))
-    kept = ["rid", *[f"_{c}" for c in passed]]
+def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", passed: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns passed, the predicted label and its score (0 to 1) for each row. Texts that are null
+    or have no letter are `und` with score 0, and so is every text if nothing was learned. Other
+    columns are ignored; names are those of the two new ones."""
+    lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).otherwise("")
+    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(passed)], lettered.alias("_text"))
+    kept = [f"_{i}" for i in range(len(passed))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
@@ -171,11 +170,11 @@ def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", passed: tu
             some = np.diff(at) > 0
             if net and some.any():
                 p = text_scores(net, tables, np.frombuffer(data, dtype=np.uint8), at)
-                names = np.where(some, np.array([*net.labels], dtype=object)[p.argmax(axis=1)], UNKNOWN)
+                found = np.where(some, np.array([*net.labels], dtype=object)[p.argmax(axis=1)], UNKNOWN)
                 score = np.where(some, p.max(axis=1), 0.0)
             else:
-                names, score = np.full(len(b), UNKNOWN, dtype=object), np.zeros(len(b))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(names.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], [*kept, "lang_pred", "score"])
+                found, score = np.full(len(b), UNKNOWN, dtype=object), np.zeros(len(b))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(found.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], [*kept, "lang_pred", "score"])
 
     schema = rows.select(kept).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"_{c}": c for c in passed})
+    return rows.mapInArrow(run, schema).toDF(*passed, *names)

@@ -15,6 +15,7 @@ from .lattice import score_documents
 from .line_dedup import line_dedup
 from .media import media_round_trip
 from .packing import pack_documents
+from .pii import pii_documents
 from .simhash import simhash_groups
 from .warc import archive_pages
 
@@ -54,6 +55,10 @@ FROM d WINDOW w AS (PARTITION BY payload)
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_documents(table(spark, sf_dir, "documents")).drop("rid", "found")
+
+
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), LM_TRAIN).drop("rid")
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op2_warc": op2_warc,
+        "op3_pii": op3_pii,
         "op4_lattice": op4_lattice,
         "op5_media": op5_media,
         "op6_packing": op6_packing,
