@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import utf8_rows, with_row_key
 
 SHORT = 128
-#: Units kept by a Python worker; beyond it the older half of them goes. Longer units aren't kept.
-CACHE, CACHED_CHARS = 400_000, 48
+#: Units kept by a Python worker in each of two generations; longer units aren't kept.
+CACHE, CACHED_CHARS = 500_000, 48
 _NONE, _SHIFT = 1 << 30, 20
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,14 +48,17 @@ class RankBpe:
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         back = {s: b for b, s in symbols.items()}
         self.start = [vocab[symbols[b]] for b in range(256)]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.last = [vocab[symbols[b] + suffix] for b in range(256)]
         self.rank: dict[int, int] = {}
         self.made: list[int] = []
         for left, right in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             self.rank[vocab[left] << _SHIFT | vocab[right]] = len(self.made)
             self.made.append(vocab[left + right])
-        self.token = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
+        self.token = {i: bytes(back[c] for c in t.removesuffix(suffix)) for t, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t.encode() for t, i in self.added.items()}
+        self.decimal = {i: b"%d" % i for i in self.token}
         self.bytes_of = {str(i).encode(): t for i, t in self.token.items()}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
@@ -65,7 +68,9 @@ class RankBpe:
         self.old: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
-        parts = [self.start[b] for b in word]
+        start = self.start
+        parts = [start[b] for b in word]
+        parts[-1] = self.last[word[-1]]
         if len(parts) > SHORT:
             return self._merge_long(parts)
         rank, made = self.rank.get, self.made
@@ -111,9 +116,14 @@ class RankBpe:
         """Decimal ids, comma-joined, of a unit that no word crosses."""
         got = self.old.get(unit)
         if got is None:
-            got = b",".join(b"%d" % i for w in self.words(unit) for i in self.merge(w.encode("utf-8", "replace")))
+            bare = unit[1:] if unit[0] == " " else unit
+            words = [unit] if bare.isascii() and bare.isalpha() else self.words(unit)
+            if len(words) == 1:
+                got = b",".join(map(self.decimal.__getitem__, self.merge(unit.encode("utf-8", "replace"))))
+            else:  # a word by itself is a unit too and may be known
+                got = b",".join([self.new.get(w) or self.old.get(w) or b",".join(map(self.decimal.__getitem__, self.merge(w.encode("utf-8", "replace")))) for w in words])
         if len(unit) <= CACHED_CHARS:
-            if len(self.new) >= CACHE // 2:
+            if len(self.new) >= CACHE:
                 self.old, self.new = self.new, {}
             self.new[unit] = got
         return got
