@@ -106,15 +106,17 @@ def split_runs(rows: DataFrame, key: list[str], insertion_after_first: bool = Fa
 
     A sub-hunk is a maximal run of kept lines without a gap in old numbers and with a change. Runs of
     additions only stand after the last old line before them (after the hunk's first old line with
-    insertion_after_first); runs of deletions only before the next line that the new file keeps.
+    insertion_after_first); runs of deletions only where the new file goes on after the next line that has an old number.
     """
     order = Window.partitionBy(*key).orderBy("pos")
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
     dropped = F.sum(F.when(~F.col("kept"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     old_before = F.last("old_no", True).over(ahead)
     first_old = F.first("old_no", True).over(ahead)
-    last_new = F.first("new_no", True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    marked = rows.withColumn("drops", dropped).withColumn("old_before", old_before).withColumn("first_old", first_old).withColumn("new_after", last_new).where("kept")
+    # the new number at or after the next line that has an old one
+    onward = F.first("new_no", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    last_new = F.first(F.when(F.col("old_no").isNotNull(), F.struct(F.col("onward").alias("n"))), True).over(order.rowsBetween(1, Window.unboundedFollowing))["n"]
+    marked = rows.withColumn("onward", onward).withColumn("drops", dropped).withColumn("old_before", old_before).withColumn("first_old", first_old).withColumn("new_after", last_new).where("kept")
     in_run = Window.partitionBy(*key, "drops").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     gap = F.coalesce(F.col("old_no") != F.last("old_no", True).over(in_run) + 1, F.lit(False))
     marked = marked.withColumn("gap", gap).withColumn("run", F.struct("drops", F.sum(F.when(F.col("gap"), 1).otherwise(0)).over(in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("gaps")))

@@ -58,10 +58,23 @@ def load_tasks(spark: SparkSession, root: str, pattern: str = TASKS, lenient: bo
 
 
 def task_meta(spark: SparkSession, root: str, pattern: str = TASKS) -> DataFrame:
-    """directory, mode, parent, parent_defect, status, reason, generator, generator_version, family."""
+    """directory, mode, parent, parent_defect, status, reason, generator, generator_version, family.
+    Spark's readers skip names that begin with an underscore, so the driver reads these small files
+    through the same file systems, one for each task."""
     schema = "mode string, parent string, parent_defect string, status string, reason string, generator string, generator_version string, family string"
-    files = whole_files(spark, f"{root}/{pattern}/_meta.yaml")
-    return files.select("directory", F.from_json(yaml_json("value"), schema).alias("m")).select("directory", "m.*")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}/_meta.yaml")
+    fs = where.getFileSystem(conf)
+    rows = []
+    for status in fs.globStatus(where) or []:
+        stream = fs.open(status.getPath())
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        rows.append((status.getPath().getParent().getName(), yaml_to_json(text)))
+    files = spark.createDataFrame(rows, "directory string, value string")
+    return files.select("directory", F.from_json("value", schema).alias("m")).select("directory", "m.*")
 
 
 def templates(spark: SparkSession, pattern: str) -> DataFrame:
