@@ -26,6 +26,7 @@ from .common import stored, utf8_rows, with_row_key
 ARCHIVE_BYTES, LEVEL, HEAD_LIMIT, STEP = 4 << 20, 6, 1 << 16, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
 CANDIDATE = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
 #: The profile of revisits, and the digits of base 32 against those of conv().
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,7 +74,7 @@ class Found:
 
 def parse(data: bytes, at: int) -> Found | str:
     """The record at a place, or what is wrong with it."""
-    if data[at : at + len(VERSION)] != VERSION:
+    if not VERSION_LINE.match(data, at):
         return "no version line"
     top = data.find(b"\r\n\r\n", at, at + HEAD_LIMIT)
     if top < 0:

@@ -103,7 +103,7 @@ def test_salvage_after_damage(packed):
     assert next(warc.salvage(whole)).fields["warc-target-uri"] == "http://x/0\r\ny%"
     at = len(parts[0]) + len(parts[1])
     broken = bytearray(whole)
-    broken[at + len(parts[2]) // 2] ^= 0xFF
+    broken[at + len(parts[2]) - 20] ^= 0xFF  # in the block: headers have no checksum of their own
     assert ids(bytes(broken)) == list("01345") and gaps(bytes(broken)) == [(at, at + len(parts[2]))]
     junk = b"junk WARC/1. junk" + whole[:at] + b"\x1f\x8b\x08zzz" * 3 + whole[at:-3]
     assert ids(junk)[:5] == list("01234") and gaps(junk)[0] == (0, 17) and gaps(junk)[-1][1] == len(junk)

@@ -52,6 +52,7 @@ def test_names():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_queries_against_sql(spark):
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     for t in ("documents", "pages"):
@@ -59,5 +60,5 @@ def test_queries_against_sql(spark):
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(sql).df()
         c = sorted(want.columns)
-        say = lambda df: sorted(str([None if v != v or v is None else v for v in r]) for r in df[c].astype(object).values.tolist())  # noqa: B023, E731
+        say = lambda df: sorted(str([None if pd.isna(v) else v for v in r]) for r in df[c].astype(object).values.tolist())  # noqa: B023, E731
         assert sorted(got.columns) == c and [x.replace(".0", "") for x in say(got)] == [x.replace(".0", "") for x in say(want)], name
