@@ -176,8 +176,9 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wor
     left = F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n")
     blank = F.col(text).isNull() | (F.col(text) == "")
     none = F.array().cast("array<int>")
+    # removals grow with the corpus: the plan is the same at every size
     return (
-        rows.join(gone, "_rid", "left")
+        rows.join(gone.hint("merge"), "_rid", "left")
         .withColumn("_n_lines", F.when(blank, 0).otherwise(F.size(lines)).cast("long"))
         .withColumn(text, F.when(F.col("_removed").isNotNull(), left).otherwise(F.col(text)))
         .withColumn("_removed", F.coalesce("_removed", none))
