@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="assayer-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -85,9 +88,18 @@ def utf8_rows(column: pa.Array) -> Iterator[bytes]:
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     valid, ends, data = column.buffers()
     at = np.frombuffer(ends, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
-    view = memoryview(data) if data is not None else memoryview(b"")
+    first = at[0]
+    held = memoryview(data)[first : at[-1]].tobytes() if data is not None else b""
     nulls = column.is_null().to_pylist() if column.null_count else None
     for i in range(len(column)):
-        yield b"" if nulls and nulls[i] else bytes(view[at[i] : at[i + 1]])
+        yield b"" if nulls and nulls[i] else held[at[i] - first : at[i + 1] - first]
 
 
+def sliced(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of a string column, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
