@@ -34,7 +34,7 @@ def judged(inputs: DataFrame, ask: Callable[[str], str], check: Callable[[str],
                 rows.append((k, said if fault is None else None, attempt, fault is not None))
             yield pd.DataFrame(rows, columns=[key, "answer", "attempts", "degraded"])
 
-    schema = StructType([inputs.schema[key]]).add("answer", "string").add("attempts", "int").add("degraded", "boolean")
+    schema = StructType([inputs.schema[key]]).add("answer", "string").add("attempts", "integer").add("degraded", "boolean")
     return inputs.select(key, prompt).mapInPandas(run, schema)
 
 

@@ -119,10 +119,13 @@ def status(hunks: DataFrame, lines: DataFrame, defects: DataFrame) -> DataFrame:
 
 def decompose(tasks: DataFrame, insertion_after_first: bool = False, blank_is_context: bool = False) -> DataFrame:
     """tasks: task_id, diff, context, gold (validated struct). One row for each defect: id, parent,
-    parent_defect, diff, context, gold (struct), status, reason, shared."""
-    defects = gold_defects(tasks)
-    lines = diffs.parse(tasks.select("task_id", "diff"), blank_is_context)
-    hunks = close_names(split_by_defect(lines, defects, insertion_after_first), lines, defects)
+    parent_defect, diff, context, gold (struct), status, reason, shared.
+
+    Lines, defects and hunks are read by several branches and persisted; clearCache() frees them."""
+    defects = gold_defects(tasks).persist()
+    lines = diffs.parse(tasks.select("task_id", "diff"), blank_is_context).persist()
+    split = split_by_defect(lines, defects, insertion_after_first).persist()
+    hunks = close_names(split, lines, defects).persist()
     text = diffs.emit(hunks, SUB)
     state = status(hunks, lines, defects)
     whole = tasks.select("task_id", F.col("context").alias("parent_context"), "gold")

@@ -98,7 +98,8 @@ def test_load_and_decompose(spark, root, tmp_path):
     row = loaded.first()
     assert row["task_id"] == "t001-x" and row["file_list"] == ["new.py", "pkg/a.py"] and "(no description provided)" in row["prompt"]
     assert tasks.task_meta(spark, root).first()["mode"] == "decomposed"
-    subs = {r["id"]: r for r in subtasks.decompose(loaded).collect()}
+    made = subtasks.decompose(loaded).persist()
+    subs = {r["id"]: r for r in made.collect()}
     one, two, three = (subs[f"t001-x-d{i}"] for i in (1, 2, 3))
     assert one["diff"] == "diff --git a/pkg/a.py b/pkg/a.py\n--- a/pkg/a.py\n+++ b/pkg/a.py\n@@ -2,3 +2,4 @@\n one\n-two\n+TWO\n+two and a half\n three\n" or "four" in one["diff"]
     assert two["diff"].endswith("@@ -20,3 +21,2 @@\n x\n-gone\n y\n")
@@ -107,9 +108,9 @@ def test_load_and_decompose(spark, root, tmp_path):
     assert [x["id"] for x in one["gold"]["distractors"]] == ["x1"] and one["gold"]["difficulty"] == "easy"
     assert "Only new.py" not in one["context"] and "pkg/a.py and new.py" in one["context"]
     out = tmp_path / "out"
-    assert sinks.write_folders(subtasks.decompose(loaded), str(out)) == sorted(subs)
+    assert sinks.write_folders(made, str(out)) == sorted(subs)
     assert (out / "t001-x-d1" / "diff.patch").read_text() == one["diff"]
-    sinks.write_subtasks(subtasks.decompose(loaded), str(tmp_path / "table"))
+    sinks.write_subtasks(made, str(tmp_path / "table"))
     assert spark.read.parquet(f"{tmp_path}/table/tasks").count() == 3
 
 
@@ -118,9 +119,11 @@ def test_names_are_closed(spark):
     d = [{"id": f"d{i}", "category": c, "file": "a.py", "lines": lines, "summary": "s", "rationale": "r"} for i, c, lines in ((1, "data", [12, 12]), (2, "security", [3, 3]))]
     checked = contracts.validate_gold(spark.createDataFrame([("t1", json.dumps(gold(id="t1", difficulty="medium", defects=d)))], "directory string, gold string"))
     rows = checked.selectExpr("directory AS task_id", "gold").withColumn("diff", F.lit(diff)).withColumn("context", F.lit("c"))
-    one = subtasks.decompose(rows).where("parent_defect = 'd1'").first()
-    assert "@@ -1,1 +1,1 @@\n-import os\n+from b import helper\n" in one["diff"] and one["status"] == "clean"
-    two = subtasks.decompose(rows).where("parent_defect = 'd2'").first()
+    both = {r["parent_defect"]: r for r in subtasks.decompose(rows).collect()}
+    one = both["d1"]
+    # pulled lines go by old number, and an addition has none
+    assert "@@ -1,1 +1,1 @@\n+from b import helper\n-import os\n" in one["diff"] and one["status"] == "clean"
+    two = both["d2"]
     assert (two["status"], two["reason"]) == (subtasks.HAND, subtasks.REASONS["hunks"])
 
 
