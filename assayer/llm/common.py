@@ -95,7 +95,7 @@ def utf8_rows(column: pa.Array) -> Iterator[bytes]:
         yield b"" if nulls and nulls[i] else held[at[i] - first : at[i + 1] - first]
 
 
-def sliced(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes of a string column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // most

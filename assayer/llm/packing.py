@@ -18,18 +18,24 @@ Documents then find their place by their rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stored, utf8_rows, with_row_key
+from .bpe import SHORT, RankBpe
+from .common import sliced, stored, utf8_rows, with_row_key
+from .merging import BatchMerger
 
 CAPACITY, END_ID, SMALL_SHARE = 4096, 1, 8
 #: Numbers of groups tried; the plan with the fewest sequences is taken.
@@ -37,7 +43,11 @@ GROUPS = (12, 16, 24)
 #: Parts into which the pieces of one length are dealt to be numbered.
 DEAL = 256
 #: Words kept by a Python worker (by generations, as many again), and the longest word kept.
-CACHE, CACHED_BYTES = 250_000, 48
+CACHE, CACHED_BYTES = 300_000, 40
+#: Fixed value: the pre-tokenization pattern of the word vocabulary.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of characters below this (Latin and its marks) are lower-cased letter by letter.
+PLAIN = "\u0370"
 
 
 @dataclass
@@ -214,7 +224,8 @@ def places(bins: list[Bins]) -> dict[int, tuple[np.ndarray, ...]]:
 
 class WordIds:
     """Ids of a vocabulary whose pre-tokenization drops white space, so that the ids of a text are
-    those of its words one after another. Words are encoded by the library and kept."""
+    those of its words one after another. Words are kept; new ones below PLAIN are merged here by the
+    file's ranks (see merging.py), all others are encoded by the library."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -225,40 +236,81 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ranks = RankBpe(path)
+        self.batch = BatchMerger(self.ranks)
+        self.pattern = regex.compile(WORD_PATTERN)
+        self.ascii_pattern = re.compile(WORD_PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").encode())
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        # The library lower-cases after composing; A-Z may be lowered first unless a combining mark
-        # (lead byte CC) or the text of a special token is about.
-        if b"\xcc" not in text and b"<|" not in text:
-            text = text.lower()
-        words = text.split()
+    def _parts(self, word: bytes) -> list[bytes] | None:
+        """The parts that merges don't cross; None where the library must see the word."""
+        if word.isalpha():  # ASCII letters only
+            return [word.lower()]
+        if word.isascii() and b"<|" not in word:
+            return self.ascii_pattern.findall(word.lower())
+        text = word.decode("utf-8", "replace")
+        if max(text) >= PLAIN or "<|" in text or not unicodedata.is_normalized("NFC", text):
+            return None
+        return [p.encode() for p in self.pattern.findall(text.lower())]
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, little-endian unsigned 32-bit."""
         got = list(map(self.new.get, words))
-        missing, i = [], -1
-        try:
-            while True:
-                i = got.index(None, i + 1)
-                missing.append(i)
-        except ValueError:
-            pass
-        fresh: dict[bytes, bytes] = {}
-        for i in missing:
-            w = words[i]
-            if w not in fresh and (v := self.old.get(w)) is not None:
-                fresh[w] = v
-        ask = list(dict.fromkeys(w for i in missing if (w := words[i]) not in fresh))
-        for j in range(0, len(ask), 4096):
-            part = ask[j : j + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for i in missing:
-            got[i] = fresh[words[i]]
-        if len(self.new) + len(fresh) > CACHE:
+        gaps = [i for i, g in enumerate(got) if g is None]
+        cut: list[tuple[int, list[bytes]]] = []
+        need: dict[bytes, bytes] = {}
+        for i in gaps:
+            word = words[i]
+            ids = self.old.get(word)
+            if ids is None:
+                parts = self._parts(word)
+                if parts is None:
+                    ids = np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+                else:
+                    cut.append((i, parts))
+                    need.update((p, b"") for p in parts if p not in self.new)
+                    continue
+            got[i] = ids
+        short = [p for p in need if len(p) <= SHORT]
+        need.update(zip(short, self.batch.merge(short)))
+        for p in need:
+            if len(p) > SHORT:
+                need[p] = np.array(self.ranks.merge(p), dtype="<u4").tobytes()
+        for i, parts in cut:
+            got[i] = b"".join([need[p] if p in need else self.new[p] for p in parts])
+        if len(self.new) + len(gaps) > CACHE:
             self.old, self.new = self.new, {}
-        self.new.update((w, v) for w, v in fresh.items() if len(w) <= CACHED_BYTES)
-        return b"".join(got)
+        self.new.update((words[i], got[i]) for i in gaps if len(words[i]) <= CACHED_BYTES)
+        return got
+
+    def texts(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Words are cut and told apart for the whole column, so that each
+        distinct word is looked up once. Null is the empty text."""
+        raw = pc.fill_null(column, "")
+        # The library lower-cases after composing; A-Z may be lowered first unless a combining mark
+        # (lead byte CC) or the text of a special token is about.
+        binary = raw.cast(pa.binary())
+        odd = pc.or_(pc.match_substring(binary, b"\xcc"), pc.match_substring(binary, b"<|"))
+        cut = pc.ascii_split_whitespace(pc.if_else(odd, raw, pc.ascii_lower(raw)))
+        ends = np.diff(cut.offsets.to_numpy())
+        coded = cut.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        found = self.known(list(utf8_rows(coded.dictionary)))
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        which = coded.indices.to_numpy()
+        many = size[which]
+        done = np.cumsum(many)
+        first = (np.cumsum(size) - size)[which]
+        total = int(done[-1]) if len(done) else 0
+        ids = pool[np.arange(total) + np.repeat(first - (done - many), many)]
+        upto = np.concatenate(([0], done))[np.concatenate(([0], np.cumsum(ends)))]
+        return [ids[x:y] for x, y in zip(upto.tolist(), upto[1:].tolist())]
+
+    def ids(self, text: bytes) -> bytes:
+        return self.texts(pa.array([text.decode("utf-8", "replace")]))[0].tobytes()
 
 
 _loaded: dict[str, WordIds] = {}
@@ -273,21 +325,19 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
             _loaded[path] = WordIds(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
-            at: list[int] = []
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for i, t in enumerate(utf8_rows(b.column("_text"))):
-                ids = _loaded[path].ids(t) + end
-                for n, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[start : start + 4 * capacity]
-                    at.append(i)
-                    for o, v in zip(out, (n, start // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None)):
-                        o.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = [pa.array(o, k) for o, k in zip(out, kinds)][: 4 + with_ids]
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("rid").take(where), b.column("_key").take(where), *columns], ["rid", "_key", "piece", "start", "length", "ids_crc32", "ids"][: 6 + with_ids])
+        end = np.array([end_id], dtype="<u4")
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for whole in batches:
+            for b in sliced(whole, "_text"):
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for i, ids in enumerate(_loaded[path].texts(b.column("_text"))):
+                    ids = np.append(ids, end)
+                    for n, start in enumerate(range(0, len(ids), capacity)):
+                        cut = ids[start : start + capacity]
+                        for o, v in zip(out, (i, n, start, len(cut), zlib.crc32(cut), cut.tobytes() if with_ids else None)):
+                            o.append(v)
+                where, *columns = [pa.array(o, k) for o, k in zip(out, kinds)][: 5 + with_ids]
+                yield pa.RecordBatch.from_arrays([b.column("rid").take(where), b.column("_key").take(where), *columns], ["rid", "_key", "piece", "start", "length", "ids_crc32", "ids"][: 6 + with_ids])
 
     schema = f"rid long, _key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("_key", key)
