@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_rows, with_row_key
+from .common import sliced, utf8_rows, with_row_key
 
 SHORT = 128
 #: Units kept by a Python worker in each of two generations; longer units aren't kept.
@@ -63,6 +63,9 @@ class RankBpe:
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.library = Tokenizer.from_file(path).pre_tokenizer
+        from .merging import BatchMerger
+
+        self.batch = BatchMerger(self)
         self.odd_space = regex.compile(r" \s|\s ")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -128,14 +131,16 @@ class RankBpe:
             self.new[unit] = got
         return got
 
-    def _segment(self, text: str) -> list[bytes]:
+    def _units(self, text: str) -> list[str]:
         # A single space before a word belongs to it, so that every such space begins a unit; texts
         # with other runs of white space about their spaces are cut by the pattern.
         if self.odd_space.search(text) or text[0] == " " or text[-1] == " ":
-            units = self.words(text)
-        else:
-            first, *rest = text.split(" ")
-            units = [first, *[" " + r for r in rest]]
+            return self.words(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + r for r in rest]]
+
+    def _segment(self, text: str) -> list[bytes]:
+        units = self._units(text)
         ids = list(map(self.new.get, units))
         i = -1
         try:
@@ -145,10 +150,38 @@ class RankBpe:
         except ValueError:
             return ids
 
+    def _split_added(self, text: str) -> list[str]:
+        return self.cut_added.split(text) if self.cut_added and "<" in text else [text]
+
+    def learn(self, texts: list[str]) -> None:
+        """Makes the units of many texts known; their words are merged together."""
+        found: set[str] = set()
+        for text in texts:
+            for part in self._split_added(text):
+                if part and part not in self.added:
+                    found.update(self._units(part))
+        fresh = [u for u in found if u not in self.new and len(u) <= CACHED_CHARS]
+        if len(self.new) + len(fresh) > CACHE:
+            self.old, self.new = self.new, {}
+        cut: dict[str, list[str]] = {}
+        need: dict[str, bytes] = {}
+        for u in fresh:
+            if (known := self.old.get(u)) is not None:
+                self.new[u] = known
+                continue
+            bare = u[1:] if u[0] == " " else u
+            cut[u] = [u] if bare.isascii() and bare.isalpha() else self.words(u)
+            need.update((w, b"") for w in cut[u] if w not in self.new)
+        decimal = self.decimal.__getitem__
+        for w, ids in zip(need, self.batch.merge([w.encode("utf-8", "replace") for w in need])):
+            need[w] = b",".join(map(decimal, memoryview(ids).cast("I")))
+        for u, words in cut.items():
+            self.new[u] = b",".join([need.get(w) or self.new[w] for w in words])
+
     def encode_decimal(self, text: str) -> bytes:
         """The ids as decimals joined by commas."""
         out: list[bytes] = []
-        for part in self.cut_added.split(text) if self.cut_added and "<" in text else [text]:
+        for part in self._split_added(text):
             if part in self.added:
                 out.append(b"%d" % self.added[part])
             elif part:
@@ -185,25 +218,31 @@ def bpe_documents(docs: DataFrame, path: str, text: str = "text", key: str = "do
     rows = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
+    def encoded(bpe: RankBpe, b: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {o: [] for o in outputs}
+        counts = []
+        texts = [t.decode("utf-8", "replace") for t in utf8_rows(b.column("_text"))]
+        bpe.learn(texts)
+        for text in texts:
+            ids = bpe.encode_decimal(text)
+            counts.append(ids.count(b",") + 1 if ids else 0)
+            decoded = bpe.decode_decimal(ids) if {"decoded", "decoded_sha256"} & out.keys() else ""
+            for o, made in (
+                ("ids", lambda: [int(x) for x in ids.split(b",")] if ids else []),
+                ("decoded", lambda: decoded),
+                ("ids_sha256", lambda: hashlib.sha256(ids).hexdigest()),
+                ("decoded_sha256", lambda: hashlib.sha256(decoded.encode()).hexdigest()),
+            ):
+                if o in out:
+                    out[o].append(made())
+        arrays = [pa.array(v, pa.list_(pa.int32()) if o == "ids" else pa.string()) for o, v in out.items()]
+        return pa.RecordBatch.from_arrays([b.column("rid"), b.column("_key"), pa.array(counts, pa.int64()), *arrays], ["rid", "_key", "n_tokens", *out])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in batches:
-            out: dict[str, list] = {o: [] for o in outputs}
-            counts = []
-            for t in utf8_rows(b.column("_text")):
-                ids = bpe.encode_decimal(t.decode("utf-8", "replace"))
-                counts.append(ids.count(b",") + 1 if ids else 0)
-                decoded = bpe.decode_decimal(ids) if {"decoded", "decoded_sha256"} & out.keys() else ""
-                for o, made in (
-                    ("ids", lambda: [int(x) for x in ids.split(b",")] if ids else []),
-                    ("decoded", lambda: decoded),
-                    ("ids_sha256", lambda: hashlib.sha256(ids).hexdigest()),
-                    ("decoded_sha256", lambda: hashlib.sha256(decoded.encode()).hexdigest()),
-                ):
-                    if o in out:
-                        out[o].append(made())
-            arrays = [pa.array(v, pa.list_(pa.int32()) if o == "ids" else pa.string()) for o, v in out.items()]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("_key"), pa.array(counts, pa.int64()), *arrays], ["rid", "_key", "n_tokens", *out])
+        for whole in batches:
+            for b in sliced(whole, "_text", 4 << 20):
+                yield encoded(bpe, b)
 
     kind = rows.schema["_key"].dataType.simpleString()
     schema = ", ".join(["rid long", f"_key {kind}", "n_tokens long", *[f"{o} {kinds[o]}" for o in outputs]])
