@@ -7,6 +7,16 @@ shared lines have MIN_WORDS words or more together; a few common short lines are
 lines that the two have in common are aligned by patience diff, and what is aligned goes from the
 later document.
 
+That search names one source for each line, so it loses a source whose lines mostly have earlier
+holders, and a passage that begins or ends inside a line and has few whole ones. With every=True pairs
+are also found through anchors, hashes of MIN_WORDS words or less:
+- each run of whole lines that just reaches MIN_WORDS leads to the first document that has it, so a
+  block of whole lines of that size always finds a source, however common its lines are;
+- winnowed windows of a quarter as many words, one of which is in each run of MIN_WORDS words at least;
+- an anchor or line in RARE documents or fewer leads to all the earlier ones, else to the first.
+Of a pair with too few words in whole lines, those blocks go that reach MIN_WORDS when they are extended
+word by word into the text around them. Only whole lines are taken out.
+
 "Later" is by key (null last), then by row. Lines are compared without white space at their ends;
 blank lines neither match nor go.
 """
@@ -19,36 +29,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty, utf8_rows, with_row_key
 
 MIN_WORDS = 50
+#: Documents of a line or an anchor up to which each is paired with all the earlier ones.
+RARE = 16
 
 
 def line_table(rows: DataFrame) -> DataFrame:
     """rows: rid, _key, _text. One row for each line that isn't blank: its place pos, 128 bits of hash
-    (a, b), k (how many equal lines came before it in the text) and its number of words."""
+    (a, b), k (how many equal lines came before it in the text), its number of words and nth, its number among those lines."""
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, pos, k, words, digests = [], [], [], [], []
+            at, pos, k, words, nth, digests = [], [], [], [], [], []
 
             def flush() -> pa.RecordBatch:
                 where = pa.array(at, pa.int64())
                 h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 out = pa.RecordBatch.from_arrays(
-                    [batch.column("rid").take(where), batch.column("_key").take(where), pa.array(pos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(k, pa.int32()), pa.array(words, pa.int32())],
-                    ["rid", "_key", "pos", "a", "b", "k", "words"],
+                    [batch.column("rid").take(where), batch.column("_key").take(where), pa.array(pos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(k, pa.int32()), pa.array(words, pa.int32()), pa.array(nth, pa.int32())],
+                    ["rid", "_key", "pos", "a", "b", "k", "words", "nth"],
                 )
-                for x in (at, pos, k, words, digests):
+                for x in (at, pos, k, words, nth, digests):
                     x.clear()
                 return out
 
             for i, text in enumerate(utf8_rows(batch.column("_text"))):
                 seen: dict[bytes, int] = {}
+                number = 0
                 for p, line in enumerate(text.split(b"\n")):
                     line = line.strip()
                     if line:
@@ -59,13 +72,162 @@ def line_table(rows: DataFrame) -> DataFrame:
                         pos.append(p)
                         k.append(n)
                         words.append(line.count(b" ") + 1)
+                        nth.append(number)
+                        number += 1
                         digests.append(d)
                 if len(at) >= 50_000:
                     yield flush()
             if at:
                 yield flush()
 
-    return rows.select("rid", "_key", "_text").mapInArrow(run, f"rid long, _key {kind}, pos int, a long, b long, k int, words int")
+    return rows.select("rid", "_key", "_text").mapInArrow(run, f"rid long, _key {kind}, pos int, a long, b long, k int, words int, nth int")
+
+
+def anchors(text: bytes, least: int) -> set[int]:
+    """Signed hashes: runs of whole lines that just reach least words, and winnowed word windows."""
+    held = [x for x in (line.strip() for line in text.split(b"\n")) if x]
+    sizes = [x.count(b" ") + 1 for x in held]
+    found, end, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        while end < len(held) and total < least:
+            total += sizes[end]
+            end += 1
+        if total < least:
+            break
+        found.append(xxhash.xxh64_intdigest(b"\n".join(held[i:end]), 1))
+        total -= size
+    words = text.split()
+    if len(words) >= least > 1:
+        long = max(1, least // 4)
+        spread = least - long + 1
+        one = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        mix = np.zeros(len(one) - long + 1, dtype=np.uint64)
+        for j in range(long):
+            mix = mix * np.uint64(0x9E3779B97F4A7C15) + one[j : j + len(mix)]
+        mix = (mix ^ (mix >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        low, wide = mix, 1
+        while wide < spread:
+            step = min(wide, spread - wide)
+            low, wide = np.minimum(low[:-step], low[step:]), wide + step
+        found += np.unique(low).tolist()
+    return {h - (1 << 64) if h >> 63 else h for h in found}
+
+
+def anchor_table(rows: DataFrame, least: int) -> DataFrame:
+    """rows: rid, _key, _text. One row for each distinct anchor of a text."""
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(utf8_rows(batch.column("_text"))):
+                mine = anchors(text, least)
+                at += [i] * len(mine)
+                found += mine
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(where), batch.column("_key").take(where), pa.array(found, pa.int64())], ["rid", "_key", "h"])
+
+    return rows.select("rid", "_key", "_text").mapInArrow(run, f"rid long, _key {kind}, h long")
+
+
+def edge_table(rows: DataFrame, least: int) -> DataFrame:
+    """rows: rid, _text, places. For each of these places the words around the line as before and after:
+    four bytes of hash for each of up to least words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for rid, places, text in zip(batch.column("rid").to_pylist(), batch.column("places").to_pylist(), utf8_rows(batch.column("_text"))):
+                lines = [x.split() for x in text.split(b"\n")]
+                ends = np.cumsum([len(x) for x in lines]).tolist()
+                hashed = b"".join(xxhash.xxh32_digest(w) for line in lines for w in line)
+                for p in places:
+                    top, end = 4 * (ends[p] - len(lines[p])), 4 * ends[p]
+                    out.append((rid, p, hashed[max(0, top - 4 * least) : top], hashed[end : end + 4 * least]))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.binary(), pa.binary()])], ["rid", "pos", "before", "after"])
+
+    return rows.select("rid", "places", "_text").mapInArrow(run, "rid long, pos int, before binary, after binary")
+
+
+def _in_common(x: bytes, y: bytes) -> int:
+    """How many hashes of four bytes the two begin with in common."""
+    n = 0
+    while 4 * n + 4 <= min(len(x), len(y)) and x[4 * n : 4 * n + 4] == y[4 * n : 4 * n + 4]:
+        n += 1
+    return n
+
+
+def _backwards(x: bytes) -> bytes:
+    return np.frombuffer(x, dtype="<u4")[::-1].tobytes()
+
+
+def extended(lines: list[tuple], least: int) -> list[int]:
+    """lines: pos, words, nth, nth_there, before, before_there, after, after_there of aligned lines, in
+    order. The places of those in blocks that reach least words with the words around them."""
+    out: list[int] = []
+    block: list[tuple] = []
+    for line in [*lines, None]:
+        if block and (line is None or (line[2], line[3]) != (block[-1][2] + 1, block[-1][3] + 1)):
+            around = _in_common(_backwards(block[0][4]), _backwards(block[0][5])) + _in_common(block[-1][6], block[-1][7])
+            if sum(x[1] for x in block) + around >= least:
+                out += [x[0] for x in block]
+            block = []
+        if line is not None:
+            block.append(line)
+    return out
+
+
+def _grouped(held: list[tuple], batch: pa.RecordBatch) -> tuple[list[list[tuple]], list[tuple]]:
+    """Whole groups of rows with equal first two columns, and the last group, which may go on."""
+    groups = []
+    for row in zip(*[c.to_pylist() for c in batch.columns]):
+        if held and held[-1][:2] != row[:2]:
+            groups.append(held)
+            held = []
+        held.append(row)
+    return groups, held
+
+
+def _of_extended(rows: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """rid, partner_key, gone of the pairs whose whole lines in common (short) have too few words."""
+    short = found.where(F.size("short") > 0).select("rid", "partner", "partner_key", F.inline("short"))
+    places = short.select("rid", "pos").unionByName(short.select(F.col("partner").alias("rid"), F.col("place").alias("pos")))
+    wanted = stored(places.groupBy("rid").agg(F.collect_set("pos").alias("places")), "wanted")
+    edges = stored(edge_table(rows.join(wanted.hint("merge"), "rid"), least), "edges")
+    there = edges.select(F.col("rid").alias("partner"), F.col("pos").alias("place"), F.col("before").alias("before_there"), F.col("after").alias("after_there"))
+    both = short.join(edges, ["rid", "pos"]).join(there, ["partner", "place"])
+    columns = ["rid", "partner", "partner_key", "pos", "words", "nth", "nth_there", "before", "before_there", "after", "after_there"]
+    dealt = both.select(columns).repartition("rid", "partner").sortWithinPartitions("rid", "partner", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(groups: list[list[tuple]]) -> pa.RecordBatch:
+            done = [(g[0][0], g[0][2], gone) for g in groups if (gone := extended([x[3:] for x in g], least))]
+            columns = list(zip(*done)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), key_type, pa.list_(pa.int32())])], ["rid", "partner_key", "gone"])
+
+        key_type = pa.null()
+        now: list[tuple] = []
+        for b in batches:
+            key_type = b.schema.field("partner_key").type
+            whole, now = _grouped(now, b)
+            yield out(whole)
+        if now:
+            yield out([now])
+
+    kind = found.schema["partner_key"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"rid long, partner_key {kind}, gone array<int>")
+
+
+def _holders(held: DataFrame, by: list[str], order: Column, tag: str) -> DataFrame:
+    """rid, partner and weight: for each key (by) in a row its earlier holders, all of them up to RARE
+    rows, else the first. held: rid, _key, by, weight."""
+    known = stored(held.groupBy(*by).agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1"), tag)
+    some = held.join(known, by)
+    common = some.where((F.col("n") > RARE) & (F.col("first.rid") != F.col("rid"))).select("rid", F.col("first.rid").alias("partner"), "weight")
+    few = some.where(F.col("n") <= RARE).groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("rows"), F.first("weight").alias("weight"))
+    later = few.select("weight", "rows", F.posexplode("rows").alias("i", "one")).where("i > 0")
+    return common.unionByName(later.select(F.col("one.rid").alias("rid"), F.explode(F.slice("rows", F.lit(1), F.col("i"))["rid"]).alias("partner"), "weight"))
 
 
 def longest_rise(values: list[int]) -> list[int]:
@@ -111,65 +273,78 @@ def patience(pairs: list[tuple[int, int, bool]]) -> list[int]:
     return sorted(out)
 
 
-def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def _first_votes(once: DataFrame, order: Column, least: int) -> DataFrame:
+    """rid, partner: pairs with least words in lines whose first document is the partner."""
+    first = stored(once.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"), "first")
+    votes = once.join(first, ["a", "b"]).where(F.col("first.rid") != F.col("rid"))
+    return votes.groupBy("rid", F.col("first.rid").alias("partner")).agg(F.sum("words").alias("shared")).where(F.col("shared") >= least).select("rid", "partner")
+
+
+def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
     """rid, removed (places of lines that go, ascending) and partners (keys of the earlier documents),
     for the rows that lose lines."""
     rows = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     lines = stored(line_table(rows), "lines")
     once = lines.where("k = 0")
     order = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("key"), F.col("rid").alias("rid"))
-    first = stored(once.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"), "first")
-    votes = once.join(first, ["a", "b"]).where(F.col("first.rid") != F.col("rid"))
-    pairs = stored(
-        votes.groupBy("rid", F.col("first.rid").alias("partner")).agg(F.sum("words").alias("shared")).where(F.col("shared") >= min_words).select("rid", "partner"),
-        "pairs",
-    )
+    if every:
+        marks = stored(anchor_table(rows, min_words), "anchors").withColumn("weight", F.lit(0))
+        by_anchor = _holders(marks, ["h"], order, "holders").select("rid", "partner")
+        pairs = stored(_first_votes(once, order, min_words).unionByName(by_anchor).distinct(), "pairs")
+    else:
+        pairs = stored(_first_votes(once, order, min_words), "pairs")
     # a line is unique if no second one is in its text
     doubled = lines.groupBy("rid", "a", "b").agg(F.count("*").alias("times"))
-    counted = stored(lines.join(doubled, ["rid", "a", "b"]).select("rid", "_key", "pos", "a", "b", "k", "words", (F.col("times") == 1).alias("unique")), "counted")
-    ours = stored(counted.join(pairs, "rid").select("rid", "partner", "pos", "a", "b", "k", "words", "unique"), "ours")
-    theirs = counted.select(F.col("rid").alias("partner"), F.col("_key").alias("partner_key"), "a", "b", "k", F.col("pos").alias("place"), F.col("unique").alias("unique_there"))
-    common = ours.join(theirs, ["partner", "a", "b", "k"]).select("rid", "partner", "partner_key", "pos", "place", "words", (F.col("unique") & F.col("unique_there")).alias("sure"))
+    counted = stored(lines.join(doubled, ["rid", "a", "b"]).select("rid", "_key", "pos", "a", "b", "k", "words", "nth", (F.col("times") == 1).alias("unique")), "counted")
+    ours = stored(counted.join(pairs, "rid").select("rid", "partner", "pos", "a", "b", "k", "words", "nth", "unique"), "ours")
+    theirs = counted.select(F.col("rid").alias("partner"), F.col("_key").alias("partner_key"), "a", "b", "k", F.col("pos").alias("place"), F.col("unique").alias("unique_there"), F.col("nth").alias("nth_there"))
+    common = ours.join(theirs, ["partner", "a", "b", "k"]).select("rid", "partner", "partner_key", "pos", "place", "words", (F.col("unique") & F.col("unique_there")).alias("sure"), "nth", "nth_there")
     dealt = common.repartition("rid", "partner").sortWithinPartitions("rid", "partner", "pos")
     kind = common.schema["partner_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def aligned(group: list[tuple]) -> list[int]:
-            gone = patience([(g[3], g[4], g[6]) for g in group])
-            words = {g[3]: g[5] for g in group}
-            return gone if sum(words[p] for p in gone) >= min_words else []
+        names = ["rid", "partner", "partner_key", "gone", "short"]
+        part = pa.struct([(c, pa.int32()) for c in ("pos", "place", "words", "nth", "nth_there")])
 
-        def out(done: list[tuple]) -> pa.RecordBatch:
-            r, k, g = zip(*done) if done else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(k, key_type), pa.array(g, pa.list_(pa.int32()))], ["rid", "partner_key", "gone"])
+        def out(groups: list[list[tuple]]) -> pa.RecordBatch:
+            done = []
+            for group in groups:
+                gone = patience([(g[3], g[4], g[6]) for g in group])
+                words = {g[3]: g[5] for g in group}
+                if sum(words[p] for p in gone) >= min_words:
+                    done.append((*group[0][:3], gone, []))
+                elif every and gone:
+                    kept = set(gone)
+                    done.append((*group[0][:3], [], [dict(zip(part.names, (g[3], g[4], g[5], g[7], g[8]))) for g in group if g[3] in kept]))
+            columns = list(zip(*done)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), key_type, pa.list_(pa.int32()), pa.list_(part)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-        now: list[tuple] = []
         key_type = pa.null()
+        now: list[tuple] = []
         for b in batches:
             key_type = b.schema.field("partner_key").type
-            done = []
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                if now and now[-1][:2] != row[:2]:
-                    if gone := aligned(now):
-                        done.append((now[0][0], now[0][2], gone))
-                    now = []
-                now.append(row)
-            yield out(done)
-        if now and (gone := aligned(now)):
-            yield out([(now[0][0], now[0][2], gone)])
-
-    found = dealt.mapInArrow(run, f"rid long, partner_key {kind}, gone array<int>")
+            whole, now = _grouped(now, b)
+            yield out(whole)
+        if now:
+            yield out([now])
+
+    part = "struct<pos:int,place:int,words:int,nth:int,nth_there:int>"
+    found = dealt.mapInArrow(run, f"rid long, partner long, partner_key {kind}, gone array<int>, short array<{part}>")
+    if every:
+        found = stored(found, "aligned")
+        found = found.where(F.size("gone") > 0).select("rid", "partner_key", "gone").unionByName(_of_extended(rows, found, min_words))
     return found.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"), F.array_sort(F.collect_list("partner_key")).alias("partners"))
 
 
-def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
     """docs with the text that is left, and rid, n_lines, removed and partners as _rid, _n_lines,
     _removed and _partners. One row for each input row, all columns kept.
 
     Null text stays null and has no lines. Rows with equal texts of min_words words or more lose all
     their lines but the first row, whatever their keys; a row whose lines all go has the empty text.
     """
-    gone = stored(removals(docs, text, key, min_words), "removals").withColumnsRenamed({"rid": "_rid", "removed": "_removed", "partners": "_partners"})
+    gone = stored(removals(docs, text, key, min_words, every), "removals").withColumnsRenamed({"rid": "_rid", "removed": "_removed", "partners": "_partners"})
     rows = with_row_key(docs, "_rid")
     lines = F.split(text_or_empty(text), "\n")
     at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))

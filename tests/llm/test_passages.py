@@ -1,0 +1,24 @@
+from assayer.llm import line_dedup
+
+
+def words(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def removed(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return {r["doc_id"]: r["_removed"] for r in line_dedup.line_dedup(docs, every=True).collect()}
+
+
+def test_a_passage_that_begins_and_ends_inside_lines(spark):
+    head, inner, tail = words("h", 15), words("i", 30), words("t", 15)
+    texts = [f"one {head}\n{inner}\n{tail} two", f"other words {head}\n{inner}\n{tail} more", f"x\n{inner}\ny"]
+    assert removed(spark, texts) == {0: [], 1: [1], 2: []}
+
+
+def test_each_long_run_of_words_has_an_anchor_in_common():
+    run = words("w", 50).encode()
+    for n in range(0, 90, 7):
+        one, two = words("x", n).encode() + b" " + run, words("y", 90 - n).encode() + b"\n" + run + b" " + words("z", n).encode()
+        assert line_dedup.anchors(one, 50) & line_dedup.anchors(two, 50)
+    assert line_dedup.anchors(b"", 50) == line_dedup.anchors(b"a b\nc", 50) == set()
