@@ -288,9 +288,11 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words
     once = lines.where("k = 0")
     order = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("key"), F.col("rid").alias("rid"))
     if every:
+        by_line = _holders(once.select("rid", "_key", "a", "b", F.col("words").alias("weight")), ["a", "b"], order, "holders")
+        enough = by_line.groupBy("rid", "partner").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= min_words).select("rid", "partner")
         marks = stored(anchor_table(rows, min_words), "anchors").withColumn("weight", F.lit(0))
         by_anchor = _holders(marks, ["h"], order, "holders").select("rid", "partner")
-        pairs = stored(_first_votes(once, order, min_words).unionByName(by_anchor).distinct(), "pairs")
+        pairs = stored(enough.unionByName(by_anchor).distinct(), "pairs")
     else:
         pairs = stored(_first_votes(once, order, min_words), "pairs")
     # a line is unique if no second one is in its text

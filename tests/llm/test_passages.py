@@ -16,6 +16,17 @@ def test_a_passage_that_begins_and_ends_inside_lines(spark):
     assert removed(spark, texts) == {0: [], 1: [1], 2: []}
 
 
+def test_lines_with_different_first_holders(spark):
+    a, b = [words(f"a{i}_", 10) for i in range(3)], [words(f"b{i}_", 10) for i in range(3)]
+    texts = ["\n".join(a), "\n".join([*a, *b]), "\n".join([*a, *b, "end"])]
+    assert removed(spark, texts) == {0: [], 1: [], 2: [0, 1, 2, 3, 4, 5]}
+    # the same with lines that many documents have
+    texts = ["\n".join([*a, *b]), "\n".join([*a, *b, "end"])]
+    alone = [x for i in range(20) for x in (f"{a[0]}\nq{i}", f"{b[1]}\nr{i}", f"{a[2]}\ns{i}")]
+    got = removed(spark, [*alone, *texts])
+    assert got[len(alone) + 1] == [0, 1, 2, 3, 4, 5] and not any(got[i] for i in range(len(alone) + 1))
+
+
 def test_each_long_run_of_words_has_an_anchor_in_common():
     run = words("w", 50).encode()
     for n in range(0, 90, 7):
