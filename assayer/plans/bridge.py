@@ -192,20 +192,22 @@ def gold_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages found verbatim in documents; a passage begins at a word and has four or more.
-    The hash of its first four words leads to it, so that not every pair is compared."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.verbatim(F.col("text")).alias("quote"))
+    """Benchmark passages found verbatim in documents, also within words. Of a passage of six words or
+    more the second to the fifth stand whole in the document; their hash leads to it, so that not every
+    pair is compared. Shorter passages are compared with every document."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.verbatim(F.col("text")).alias("quote")).withColumn("parts", F.split("quote", " "))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = d.select("doc_id", F.split(F.replace("text", F.lit("`"), F.lit("")), r"(?U)\s+").alias("words"))
     # the lambda reads its element only: an array from outside would be made anew for each element
     near = F.arrays_zip(F.col("words").alias("w0"), *[F.slice("words", F.lit(i + 1), F.size("words")).alias(f"w{i}") for i in (1, 2, 3)])
     leads = words.select("doc_id", F.array_distinct(F.transform(near, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(4)]))).alias("leads"))
-    first = F.split("quote", " ")
-    b = b.withColumn("lead", F.xxhash64(*[F.get(first, F.lit(i)) for i in range(4)]))
-    found = leads.select("doc_id", F.explode("leads").alias("lead")).join(b.select("item_id", "lead"), "lead").select("doc_id", "item_id")
+    long = b.where(F.size("parts") >= 6).withColumn("lead", F.xxhash64(*[F.get("parts", F.lit(i)) for i in range(1, 5)]))
+    found = leads.select("doc_id", F.explode("leads").alias("lead")).join(long.select("item_id", "lead"), "lead").select("doc_id", "item_id")
     # only documents that a lead hits are normalised
-    hit = found.distinct().join(d, "doc_id").join(b.select("item_id", "quote"), "item_id")
-    return hit.where(F.contains(T.verbatim(F.col("text")), "quote")).select("doc_id", "item_id").distinct()
+    hit = found.distinct().join(d, "doc_id").join(long.select("item_id", "quote"), "item_id")
+    inside = F.contains(T.verbatim(F.col("text")), "quote")
+    short = d.select("doc_id", T.verbatim(F.col("text")).alias("said")).join(b.where(F.size("parts") < 6).select("item_id", "quote"), F.contains("said", "quote"))
+    return hit.where(inside).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,3 +19,14 @@ def test_all_keys_are_validated(spark):
     want = sorted(con.execute(sql).fetchall())
     got = sorted(tuple(r) for r in bridge.contract_violations_whole(spark, SF).select("trace_id", "valid", "n", "first").collect())
     assert got == want and len({k % 5 for k, *_ in got}) == 5
+
+
+def test_passages_within_words_and_short_ones(spark, tmp_path):
+    texts = ["he said: “alpha beta gamma delta epsilon zeta eta” twice", "(one two three four) and more", "tiny!", "nothing here", None, "xalpha `beta`  gamma\ndelta epsilon zeta etas"]
+    quotes = ["alpha beta gamma delta epsilon zeta eta", "one two three four", "tiny", "beta gamma", "a b c d e f g", "pha beta gamma delta epsilon ze"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda t: " ".join(t.replace("`", "").split())
+    want = {(d, i) for d, t in enumerate(texts) if t for i, q in enumerate(quotes) if plain(q) in plain(t)}
+    got = [tuple(r) for r in bridge.verbatim_containment(spark, str(tmp_path)).select("doc_id", "item_id").collect()]
+    assert len(want) == 8 and set(got) == want and len(got) == len(want)
