@@ -2,7 +2,7 @@
 
 Archives are rows of (archive, data): Spark's own commit makes a half-written one vanish with the
 executor that wrote it. Every record is a gzip member of its own. The reader checks each member and
-record; where a check fails it looks for the next member or version line from which a whole record can
+record, also within a member; where a check fails it looks for the next member or version line from which a whole record can
 be read, goes on there and logs the bytes between as quarantined.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, utf8_rows, with_row_key
 
-ARCHIVE_BYTES, LEVEL, HEAD_LIMIT, STEP = 4 << 20, 6, 1 << 16, 1 << 16
+ARCHIVE_BYTES, LEVEL, STEP = 4 << 20, 6, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
@@ -76,7 +76,7 @@ def parse(data: bytes, at: int) -> Found | str:
     """The record at a place, or what is wrong with it."""
     if not VERSION_LINE.match(data, at):
         return "no version line"
-    top = data.find(b"\r\n\r\n", at, at + HEAD_LIMIT)
+    top = data.find(b"\r\n\r\n", at)
     if top < 0:
         return "header without end"
     fields: dict[str, str] = {}
@@ -101,56 +101,90 @@ def parse(data: bytes, at: int) -> Found | str:
     return Found(at, end + 4, None, fields, payload, int(length[1]) if length else len(payload))
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """A gzip member's content and end; zlib tests its checksum and length."""
+def member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """A gzip member's content and end, and what is wrong with it; zlib tests its checksum and length.
+    Of a broken member: what could be inflated, and where that ended."""
     inflate, view, out, p = zlib.decompressobj(31), memoryview(data), [], at
-    try:
-        while not inflate.eof:
-            if p >= len(data):
-                return "member is cut"
+    while not inflate.eof:
+        if p >= len(data):
+            return b"".join(out), p, "member is cut"
+        before = inflate.copy()
+        try:
             out.append(inflate.decompress(view[p : p + STEP]))
-            p += STEP
-    except zlib.error as e:
-        return f"member: {e}"
-    return b"".join(out), min(p, len(data)) - len(inflate.unused_data)
+        except zlib.error as e:
+            try:
+                while True:  # byte by byte to the broken one
+                    out.append(before.decompress(view[p : p + 1]))
+                    p += 1
+            except zlib.error:
+                return b"".join(out), p, f"member: {e}"
+        p += STEP
+    return b"".join(out), min(p, len(data)) - len(inflate.unused_data), None
+
+
+def within(content: bytes) -> Iterator[Found]:
+    """The records of a member's content, and the gaps between them, by their places in the content."""
+    at, gap, why = 0, -1, ""
+    while at < len(content):
+        one = parse(content, at)
+        if isinstance(one, str):
+            if gap < 0:
+                gap, why = at, one
+            ahead = VERSION_LINE.search(content, at + 1)
+            at = ahead.start() if ahead else len(content)
+            continue
+        if gap >= 0:
+            yield Found(gap, at, why)
+            gap = -1
+        yield one
+        at = one.end
+    if gap >= 0:
+        yield Found(gap, len(content), why)
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """All records that can be read whole, and the gaps between them, in order."""
-    at, gap, why = 0, -1, ""
+    """All records that can be read whole, and the gaps between them, in order. Those of a member have
+    its range; a gap in it says its place in the content. Of a broken member the records whose block
+    digest holds are kept (all whole ones if it is only cut); they stand at its start, and the member
+    is a gap."""
+    at, gap, why, raw = 0, -1, "", 0
     while at < len(data):
-        got: list[Found] | str
+        got: list[Found] = []
+        bad: str | None = None
         if data.startswith(MAGIC, at):
-            content = member(data, at)
-            if isinstance(content, str):
-                got = content
-            else:
-                got, p = [], 0
-                while p < len(content[0]):
-                    one = parse(content[0], p)
-                    if isinstance(one, str):
-                        got = one
-                        break
-                    got.append(one)
-                    p = one.end
-                if not isinstance(got, str):
-                    for one in got:
-                        one.start, one.end = at, content[1]
-                    end = content[1]
+            content, end, bad = member(data, at)
+            got = list(within(content))
+            if bad:
+                got = [f for f in got if not f.reason and (bad == "member is cut" or "warc-block-digest" in f.fields)]
+                raw = max(raw, end) if got else raw  # what was inflated isn't read again where it is stored
+            elif not any(not f.reason for f in got):
+                bad = got[0].reason if got else None
+                got = []
+            for f in got:
+                f.reason = f.reason and f"{f.reason}, at {f.start} to {f.end} of the member's content"
+                f.start, f.end = at, at if bad else end
         else:
             one = parse(data, at)
-            got = one if isinstance(one, str) else [one]
-            end = at if isinstance(one, str) else one.end
-        if isinstance(got, str):
+            if isinstance(one, str):
+                bad = one
+            else:
+                got, end = [one], one.end
+        if got:
+            if gap >= 0:
+                yield Found(gap, at, why)
+                gap = -1
+            yield from got
+        if bad:
             if gap < 0:
-                gap, why = at, got
+                gap, why = at, bad
             ahead = CANDIDATE.search(data, at + 1)
+            while ahead and ahead.start() < raw and not data.startswith(MAGIC, ahead.start()):
+                ahead = CANDIDATE.search(data, ahead.start() + 1)
             at = ahead.start() if ahead else len(data)
             continue
         if gap >= 0:
             yield Found(gap, at, why)
             gap = -1
-        yield from got
         at = end
     if gap >= 0:
         yield Found(gap, len(data), why)
