@@ -4,7 +4,7 @@ Windows of WINDOW bytes (A-Z lower-cased) go through a byte embedding, filters o
 maximum over all places, and a softmax. A text is cut into consecutive windows, all of them are
 applied in batches, and its scores are the windows' probabilities weighted by their bytes.
 
-Training takes a bounded sample: at most SAMPLE rows of each of the CLASSES most frequent labels, one
+Training takes a bounded sample: at most SAMPLE rows of each label, one
 window of each, chosen by a hash of the row. Everything else covers all rows.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
-SAMPLE, CLASSES = 1200, 64
+SAMPLE = 1200
 ROUNDS, BATCH, RATE, SEED = 8, 64, 0.01, 7
 APPLY = 32
 UNKNOWN = "und"
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, learn: str, text: str = "text", label: str = "lang", sa
     """The net of the rows that meet the SQL condition learn and have a label and a letter; None if
     there are none. The window of a sampled row begins at a place that its hash chooses."""
     rows = docs.where(F.coalesce(F.expr(learn), F.lit(False)) & F.col(label).isNotNull()).select(F.col(text).alias("_text"), F.col(label).cast("string").alias("_label"))
-    counts = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(CLASSES).collect()
+    counts = rows.groupBy("_label").count().collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["_label"], min(1.0, 1.5 * sample / r["count"]))])
