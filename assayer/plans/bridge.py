@@ -143,7 +143,7 @@ def bootstrap_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.bootstrap(spark, rollouts(spark, sf_dir), A, B, draws=200)
+    return inference.bootstrap(spark, rollouts(spark, sf_dir), A, B)
 
 
 def hunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from assayer.operators import inference
 from assayer.plans import bridge, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,18 @@ def test_passages_within_words_and_short_ones(spark, tmp_path):
     want = {(d, i) for d, t in enumerate(texts) if t for i, q in enumerate(quotes) if plain(q) in plain(t)}
     got = [tuple(r) for r in bridge.verbatim_containment(spark, str(tmp_path)).select("doc_id", "item_id").collect()]
     assert len(want) == 8 and set(got) == want and len(got) == len(want)
+
+
+def test_seeded_bootstrap_has_the_operators_draws(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(inference, "seeded_draws", lambda *a, **k: seen.setdefault("draws", a[3]) and None)
+    monkeypatch.setattr(inference, "gaps", lambda cell, *a: cell)
+    monkeypatch.setattr(inference, "interval", lambda gap, *a: gap)
+    try:
+        bridge.bootstrap_seeded(spark, SF)
+    except Exception:  # only the draws asked for are looked at
+        pass
+    assert seen["draws"] == inference.DRAWS == 10_000
+
+
+test_seeded_bootstrap_has_the_operators_draws = there(test_seeded_bootstrap_has_the_operators_draws)
