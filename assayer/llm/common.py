@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,13 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Non-ASCII characters of these general categories are left as they are by ascii_lower; every
 #: character whose lower case differs is among them.
 _CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}&&[^\x00-\x7F]]"
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+#: Rows of a file of a narrow table whose size is known.
+FILE_ROWS = 1 << 18
+#: Removes the shuffle files of an execution when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests on one machine) a new local folder, which is then set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new
+    local folder is set for a session on one machine; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="assayer-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -36,22 +44,48 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, so that a lost executor
-    costs a read and not the work before. The table goes when the driver ends."""
+    costs a read and not the work before. What was shuffled for it goes at once; the table goes with
+    dropped() or when the driver ends. rows says how many rows there are at most, where that is known
+    and the last step is a light one: then no more files are written than they need."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(-(-max(rows, 1) // FILE_ROWS))
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by stored() that nothing reads any more. Other frames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            _remove(path)
 
 
 def _remove_stored() -> None:
-    for spark, path in _made:
+    for path in list(_made):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(path)
         except Exception:  # the session may be gone
             return
 
@@ -59,10 +93,44 @@ def _remove_stored() -> None:
 atexit.register(_remove_stored)
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is columns and filters over one scan of Parquet files, so that each of its rows is one
+    row of a file and every scan gives the same ones."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return False
+    return True
+
+
+def scannable(df: DataFrame) -> DataFrame:
+    """df itself if it is a plain scan of Parquet files, else a stored copy."""
+    return df if _plain_scan(df) else stored(df, "rows")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str = "rid") -> DataFrame:
-    """A key for each row, the same whenever the same files are scanned; doc_id may be null or
-    repeat."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A key for each row; doc_id may be null or repeat. It is the row's number in its file, combined
+    with a hash of the file's name: the same for every scan, however the files are split then, and
+    equal for two rows with a probability of about files**2 * rows a file / 2**64 in all. A frame that
+    isn't a plain scan is stored first; to key one frame twice, make it scannable() before."""
+    df = scannable(df)
+    at = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.xxhash64(at["file_path"]).bitwiseXOR(at["row_index"]))
 
 
 def text_or_empty(name: str = "text") -> Column:

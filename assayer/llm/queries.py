@@ -78,8 +78,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup(table(spark, sf_dir, "documents"), every=True)
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.col("_removed").alias("removed"), F.col("_partners").alias("partners"), "text")
+    done = line_dedup(table(spark, sf_dir, "documents"))
+    own = done.columns[-1]
+    return done.select("doc_id", f"{own}.n_lines", F.size(f"{own}.removed").cast("long").alias("n_removed"), f"{own}.removed", f"{own}.partners", "text")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ pair of blocks becomes a task, so that no task holds an unbounded group and no l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8_rows, with_row_key
+from .common import dropped, stored, utf8_rows, with_row_key
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 4, 4
@@ -124,43 +124,55 @@ def stars(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return fp[child], fp[top[child]]
 
 
-def links(entries: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """child, parent (parent < child): edges whose components are those of all pairs of distinct
-    fingerprints (column fp) with at most radius differing bits. radius is 4 at most."""
-    if radius > 4:
-        raise ValueError("four shared positional bytes are guaranteed up to 4 differing bits")
-    posts = entries.select("fp", F.explode(F.array(*[_posting(t, i) for i, t in enumerate(POSITIONS)])).alias("post"))
+def in_cells(posts: DataFrame, compare: Callable[[dict[str, pa.Array], np.ndarray], tuple[np.ndarray, np.ndarray]], cell: int = CELL) -> DataFrame:
+    """child, parent: what compare finds among the entries of each posting. posts: post (long), id (long)
+    and any other columns. compare gets columns sorted by their cell, and the cells.
+
+    Postings of more than cell entries are dealt into blocks by id, and each pair of blocks is a cell of
+    its own, so that no task holds an unbounded group and any two entries meet."""
     large = stored(posts.groupBy("post").count().where(F.col("count") > cell), "large")
+    kept = [c for c in posts.columns if c != "post"]
     if large.isEmpty():
-        cells = posts.select(F.col("post").alias("cell"), "fp")
+        cells = posts.withColumnRenamed("post", "cell")
     else:
         sized = posts.join(large, "post", "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / cell).cast("int"))
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        dealt = sized.select("fp", "post", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        dealt = sized.select(*kept, "post", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
         # a clash of these hashes only adds comparisons
-        cells = dealt.select(F.xxhash64("post", F.least("b", "c"), F.greatest("b", "c")).alias("cell"), "fp")
+        cells = dealt.select(F.xxhash64("post", F.least("b", "c"), F.greatest("b", "c")).alias("cell"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            child, parent = stars(cells, fps, radius)
-            return pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], ["child", "parent"])
+        def edges(part: pa.Table) -> pa.RecordBatch:
+            held = {c: part.column(c).combine_chunks() for c in kept}
+            child, parent = compare(held, part.column("cell").to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(parent, pa.int64())], ["child", "parent"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
-            held.append((b.column("cell").to_numpy(), b.column("fp").to_numpy()))
+            held.append(b)
             rows += len(b)
             if rows >= GATHER:
-                c, f = (np.concatenate(x) for x in zip(*held))
+                whole = pa.Table.from_batches(held)
+                c = whole.column("cell").to_numpy()
                 cut = int(np.searchsorted(c, c[-1]))  # the last cell may go on
                 if cut:
-                    yield edges(c[:cut], f[:cut])
-                held, rows = [(c[cut:], f[cut:])], len(c) - cut
+                    yield edges(whole.slice(0, cut))
+                held, rows = whole.slice(cut).to_batches(), len(c) - cut
         if rows:
-            yield edges(*(np.concatenate(x) for x in zip(*held)))
+            yield edges(pa.Table.from_batches(held))
+
+    sorted_ = cells.select("cell", *kept).repartition("cell").sortWithinPartitions("cell")
+    return sorted_.mapInArrow(run, "child long, parent long")
 
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "child long, parent long")
+
+def links(entries: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """child, parent (parent < child): edges whose components are those of all pairs of distinct
+    fingerprints (column fp) with at most radius differing bits. radius is 4 at most."""
+    if radius > 4:
+        raise ValueError("four shared positional bytes are guaranteed up to 4 differing bits")
+    posts = entries.select(F.col("fp").alias("id"), F.explode(F.array(*[_posting(t, i) for i, t in enumerate(POSITIONS)])).alias("post"))
+    return in_cells(posts, lambda held, cells: stars(cells, held["id"].to_numpy(), radius), cell)
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -174,9 +186,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     Other columns are ignored.
     """
     rows = stored(fingerprints(docs, text, key, words), "fingerprints")
-    entries = stored(rows.groupBy("fp").agg(F.min("_key").alias("least")), "entries")
+    n = rows.count()
+    entries = stored(rows.groupBy("fp").agg(F.min("_key").alias("least")), "entries", n)
     tree = components(links(entries, radius))
-    rooted = stored(entries.join(tree.withColumnRenamed("child", "fp"), "fp", "left").withColumn("root", F.coalesce("parent", "fp")), "rooted")
-    tops = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
-    labels = stored(rooted.join(tops, "root").select("fp", "root", "component_id"), "labels")
+    rooted = stored(entries.join(tree.withColumnRenamed("child", "fp"), "fp", "left").withColumn("root", F.coalesce("parent", "fp")), "rooted", n)
+    tops = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "tops", n)
+    labels = stored(rooted.join(tops, "root").select("fp", "root", "component_id"), "labels", n)
+    dropped(entries, tree, rooted, tops)
     return rows.join(labels, "fp").select("rid", F.col("_key").alias(key), "fp", "root", "component_id")

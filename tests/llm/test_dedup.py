@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from assayer.llm import components, exact_dedup, line_dedup, simhash
+from assayer.llm import components, exact_dedup, simhash
 from assayer.llm.common import ascii_lower
 
 
@@ -127,97 +127,3 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["child"]: r["parent"] for r in components.components(spark.createDataFrame(edges, "child long, parent long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {1000 + i: 500 for i in range(30)}
     assert components.components(spark.createDataFrame([], "child long, parent long")).count() == 0
-
-
-def test_patience():
-    assert line_dedup.longest_rise([]) == [] and line_dedup.longest_rise([3, 1, 2, 5, 4]) == [1, 2, 4]
-    assert line_dedup.patience([(0, 5, True), (1, 6, True), (2, 0, True), (3, 7, False)]) == [0, 1, 3]
-    assert line_dedup.patience([(0, 1, False), (1, 0, False)]) in ([0], [1])
-
-
-PASSAGE = " ".join(f"p{i}" for i in range(60))
-
-
-def text_lines(*parts):
-    return "\n".join(parts)
-
-
-LINE_DOCS = [
-    (1, text_lines("head", "a b c", PASSAGE, "tail one")),
-    (2, text_lines("head", "other words", PASSAGE, "tail two")),
-    (3, text_lines("head", "nothing shared but the head")),
-    (4, text_lines("head", "a b c", PASSAGE, "tail one")),
-    (None, text_lines(PASSAGE, "", "  ", "null id")),
-    (5, None),
-    (6, ""),
-    (7, text_lines(*[PASSAGE] * 3)),
-]
-
-
-def test_line_dedup(spark):
-    docs = spark.createDataFrame([(i, t, "x") for i, t in LINE_DOCS], "doc_id long, text string, removed string")
-    rows = line_dedup.line_dedup(docs).collect()
-    assert len(rows) == len(docs.collect()) and {"removed", "_removed"} <= set(rows[0].asDict())
-    got = {r["doc_id"]: r for r in rows}
-    assert got[1]["text"] == LINE_DOCS[0][1] and got[1]["_removed"] == []
-    # "head" is in common with the same earlier document and in the same order
-    assert got[2]["text"] == text_lines("other words", "tail two") and got[2]["_partners"] == [1]
-    assert got[3]["text"] == LINE_DOCS[2][1]
-    assert got[4]["text"] == "" and got[4]["_removed"] == [0, 1, 2, 3]
-    assert got[None]["text"] == text_lines("", "  ", "null id")
-    assert got[5]["text"] is None and got[6]["text"] == "" and got[5]["_n_lines"] == 0
-    assert got[7]["text"] == text_lines(PASSAGE, PASSAGE), "the k-th of equal lines is matched with the k-th"
-
-
-def plain_line_dedup(rows, least):
-    """Each document against each earlier one that first had its lines, compared line by line."""
-    docs = [[x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")] for _, t in rows]
-    order = sorted(range(len(rows)), key=lambda d: (rows[d][0] is None, rows[d][0] or 0, d))
-    first = {}
-    for d in order:
-        for x in docs[d]:
-            if x:
-                first.setdefault(x, d)
-    out = []
-    for d, lines in enumerate(docs):
-        gone, votes = set(), Counter()
-        for x in set(lines) - {""}:
-            if first[x] != d:
-                votes[first[x]] += x.count(" ") + 1
-        for e, n in votes.items():
-            if n < least:
-                continue
-            place, nth = {}, Counter()
-            for p, x in enumerate(docs[e]):
-                if x:
-                    place[x, nth[x]] = p
-                    nth[x] += 1
-            mine, pairs = Counter(), []
-            for p, x in enumerate(lines):
-                if x:
-                    if (x, mine[x]) in place:
-                        pairs.append((p, place[x, mine[x]], lines.count(x) == 1 and nth[x] == 1))
-                    mine[x] += 1
-            cut = line_dedup.patience(pairs)
-            if sum(lines[p].count(" ") + 1 for p in cut) >= least:
-                gone |= set(cut)
-        out.append(sorted(gone))
-    return out
-
-
-def test_line_dedup_against_plain_loops(spark):
-    rng = random.Random(7)
-    lines = [" ".join(f"v{rng.randrange(99)}" for _ in range(rng.choice([1, 4, 20]))) for _ in range(30)]
-    rows = [(rng.choice([None, i, i]), "\n".join(rng.choice(["", *lines]) for _ in range(rng.randrange(1, 12)))) for i in range(80)]
-    rows += [(200 + i, rows[i % 9][1]) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    got = {r["_rid"]: r for r in line_dedup.line_dedup(df, min_words=20).collect()}
-    want = plain_line_dedup(rows, 20)
-    assert sum(map(bool, want)) > 20
-    for d, gone in enumerate(want):
-        assert got[d]["_removed"] == gone
-        assert got[d]["text"] == "\n".join(x for p, x in enumerate(rows[d][1].split("\n")) if p not in gone)
-
-
-def test_line_dedup_of_odd_rows(odd, none, odd_rows):
-    assert line_dedup.line_dedup(odd).count() == len(odd_rows) and line_dedup.line_dedup(none).count() == 0
