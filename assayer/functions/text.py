@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SUBTASK = "-d[0-9]+$"
 GENERAL = "general"
@@ -82,10 +86,55 @@ def delimiter_balance(text: Column) -> Column:
     return count("([{") - count(")]}")
 
 
+def _object(said: Column) -> Column:
+    """A JSON text if it is an object, else null."""
+    return F.when(said.startswith("{"), said)
+
+
 def schema_snippet(body: Column) -> Column:
-    """The JSON schema that a request asks for: of its response format, else of its first tool."""
-    tool = F.coalesce(F.get_json_object(body, "$.tools[0].function.parameters"), F.get_json_object(body, "$.tools[0].input_schema"))
-    return F.coalesce(F.get_json_object(body, "$.response_format.json_schema.schema"), F.get_json_object(body, "$.response_format.schema"), tool)
+    """The JSON schema that a request asks for: that of its response format, else the first among its
+    function tools."""
+    tools = F.from_json(F.get_json_object(body, "$.tools"), "array<string>")
+    found = F.transform(tools, lambda t: F.when(F.get_json_object(t, "$.type") == "function", _object(F.get_json_object(t, "$.function.input_schema"))))
+    return F.coalesce(_object(F.get_json_object(body, "$.response_format.json_schema.schema")), F.try_element_at(F.array_compact(found), F.lit(1)))
+
+
+@F.pandas_udf(StringType())
+def _indented(value: pd.Series) -> pd.Series:
+    """JSON laid out with two spaces; to_json's own layout differs."""
+    return value.map(lambda v: None if v is None else json.dumps(json.loads(v), indent=2))
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def prompt_of_request(body: Column) -> Column:
+    """One prompt from a chat request (JSON): the schema it asks for with a preamble, its system text (a
+    text or blocks), then its messages as role and content, blocks of text joined by line ends."""
+    schema = schema_snippet(body)
+    whole = F.parse_json(body)
+    none = F.array().cast("array<string>")
+    blocks = lambda raw: F.transform(
+        F.filter(F.coalesce(F.from_json(raw, "array<string>"), none), lambda b: F.get_json_object(b, "$.type") == "text"), lambda b: F.coalesce(F.get_json_object(b, "$.text"), F.lit(""))
+    )
+    system, kind = F.get_json_object(body, "$.system"), _kind(F.try_variant_get(whole, "$.system", "variant"))
+    head = F.when((kind == "STRING") & (system != ""), F.array(system)).when(kind.startswith("ARRAY"), blocks(system)).otherwise(none)
+
+    def said(m: Column) -> Column:
+        role = F.coalesce(F.get_json_object(m, "$.role"), F.lit("user"))
+        content, kind = F.get_json_object(m, "$.content"), _kind(F.try_variant_get(F.parse_json(m), "$.content", "variant"))
+        text = F.array_join(blocks(content), "\n")
+        return F.when(kind == "STRING", F.concat(role, F.lit(": "), content)).when(kind.startswith("ARRAY") & (text != ""), F.concat(role, F.lit(": "), text))
+
+    messages = F.transform(F.coalesce(F.from_json(F.get_json_object(body, "$.messages"), "array<string>"), none), said)
+    preamble = F.when(schema.isNotNull(), F.array(F.lit("Output must be a single JSON object matching this JSON Schema:"), _indented(schema))).otherwise(none)
+    return F.array_join(F.concat(preamble, head, F.array_compact(messages)), "\n\n")
+
+
+def request_model(requested: Column, judge_id: str, judge_model: str, model: str) -> Column:
+    """The judge's model for requests that name the judge's id, else the reviewer's."""
+    return F.when(F.contains(F.lower(F.coalesce(requested, F.lit(""))), F.lit(judge_id.lower())), judge_model).otherwise(model)
 
 
 def model_family(model: Column, heads: list[str]) -> Column:

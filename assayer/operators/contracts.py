@@ -69,7 +69,7 @@ def validate_gold(golds: DataFrame) -> DataFrame:
         ((kind != "oss") | has(extra, ["url", "license", "attribution"]), "oss source misses a field"),
         ((kind != "oss") | F.col("g.source")["license"].isin(LICENSES), "license isn't permissive"),
         ((kind != "oss") | only(extra, ["kind", "url", "license", "attribution"]), "oss source has unknown fields"),
-        (F.col("raw_defects").isNotNull() & F.col("raw_distractors").isNotNull(), "defects and distractors must be lists"),
+        (F.col("raw_defects").isNotNull() & F.col("raw_distractors").isNotNull(), "defects or distractors aren't arrays"),
         (n.between(1, 4), "defects must number 1 to 4"),
         (each("raw_defects", lambda k: has(k, DEFECT_KEYS)), "defect misses a key"),
         (each("raw_defects", lambda k: only(k, DEFECT_KEYS)), "defect has unknown keys"),

@@ -27,10 +27,11 @@ def scenarios(cell: DataFrame) -> DataFrame:
 
 
 def hashed_draws(spark: SparkSession, known: DataFrame, draws: int) -> DataFrame:
-    """population, draw, scenario: draws from arithmetic on (draw, slot), the same in any engine."""
-    slots = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(known.select("population", F.col("place").alias("slot"), "size")))
+    """population, draw, scenario: draws from arithmetic on (draw, slot), the same in any engine. Each
+    scenario is a slot of every draw of its population."""
+    slots = known.select("population", F.col("place").alias("slot"), "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
     pick = F.pmod((F.col("draw") * 7919 + F.col("slot") * 104729 + 12345) * 48271 % 2147483647, F.col("size"))
-    return slots.select("population", "draw", pick.alias("place")).join(F.broadcast(known.select("population", "place", "scenario")), ["population", "place"]).drop("place")
+    return slots.select("population", "draw", pick.alias("place")).join(known.select("population", "place", "scenario"), ["population", "place"]).drop("place")
 
 
 def seeded_draws(spark: SparkSession, known: DataFrame, paired: list[str], draws: int = DRAWS, seed: int = SEED) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,38 +19,65 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
-@F.udf(StringType())
-def _canonical(text):
-    return None if text is None else canonical_json(json.loads(text))
+@F.pandas_udf(StringType())
+def _canonical(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else canonical_json(json.loads(t)))
 
 
 def content_hash(value_json: Column) -> Column:
-    """SHA-256 of the canonical form of a JSON text. JSON can't be put in order by built-in functions;
-    inputs are few."""
+    """SHA-256 of the canonical form of any JSON text. JSON of unknown shape can't be put in order by
+    built-in functions; known shapes are written in order, see json_text."""
     return F.sha2(_canonical(value_json), 256)
 
 
+def json_text(text: Column) -> Column:
+    """A text as a JSON string in ASCII, in built-in functions. Null stays null."""
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        out = F.when(n > 0xFFFF, F.concat(four(F.shiftright(n - 0x10000, 10) + 0xD800), four(((n - 0x10000) % 1024) + 0xDC00))).when((n < 32) | (n > 126), four(n)).otherwise(c)
+        for plain, said in {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}.items():
+            out = F.when(c == F.lit(plain), F.lit(said)).otherwise(out)
+        return out
+
+    # only texts with such characters are taken apart
+    escaped = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[^ !#-\[\]-~]'), escaped).otherwise(text), F.lit('"'))
+
+
+def json_object(parts: dict[str, Column]) -> Column:
+    """The canonical form of an object of texts; null if one of them is."""
+    said = [x for i, (k, v) in enumerate(sorted(parts.items())) for x in (F.lit(("," if i else "{") + json.dumps(k) + ":"), json_text(v))]
+    return F.concat(*said, F.lit("}"))
+
+
 def gold_version(gold_json: Column) -> Column:
     """Content hash of a gold record; a missing prompt_notes is the empty text."""
 
-    @F.udf(StringType())
-    def full(text):
-        if text is None:
-            return None
-        gold = json.loads(text)
+    @F.pandas_udf(StringType())
+    def full(text: pd.Series) -> pd.Series:
         fields = ("id", "difficulty", "source", "defects", "distractors")
-        return canonical_json({k: gold.get(k) for k in fields} | {"prompt_notes": gold.get("prompt_notes") or ""})
+
+        def one(t):
+            if t is None:
+                return None
+            gold = json.loads(t)
+            return canonical_json({k: gold.get(k) for k in fields} | {"prompt_notes": gold.get("prompt_notes") or ""})
+
+        return text.map(one)
 
     return F.sha2(full(gold_json), 256)
 
 
 def review_hash(review: Column) -> Column:
-    return F.substring(content_hash(F.to_json(F.struct(review.alias("review")))), 1, SHORT)
+    """Null reviews have none."""
+    return F.substring(F.sha2(json_object({"review": review}), 256), 1, SHORT)
 
 
 def verdict_key(task: Column, review: Column, gold: Column, prompt: Column, model: Column) -> Column:
-    parts = F.struct(task.alias("task_id"), review_hash(review).alias("review"), gold.alias("gold"), prompt.alias("prompt"), model.alias("model"))
-    return F.substring(content_hash(F.to_json(parts)), 1, SHORT)
+    """Null if a part is null."""
+    return F.substring(F.sha2(json_object({"task_id": task, "review": review_hash(review), "gold": gold, "prompt": prompt, "model": model}), 256), 1, SHORT)
 
 
 def native_key(*parts: Column) -> Column:

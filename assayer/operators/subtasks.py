@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import delimiter_balance, looks_like_binding, pruned_context, strip
+from ..storage import dropped, stored
 from . import diffs
 from .names import BUILTINS, bound_names, parameter_names, used_names
 
 SUB = ["task_id", "defect_id"]
 HAND, CLEAN = "needs-hand-write", "clean"
 REASONS = {
-    "hunks": "no hunks survived the split",
-    "change": "sub-diff is pure context with no change",
-    "balance": "changed lines are cut mid-expression",
-    "closure": "changed lines reference a name bound only in the parent diff",
-    "anchor": "cannot derive a line anchor for the defect",
+    "hunks": "the split left no hunk",
+    "change": "none of the lines is a change",
+    "balance": "brackets of the changed lines don't match up",
+    "closure": "a name in use is bound by the parent's other changes",
+    "anchor": "no line to anchor the defect at",
 }
 
 
@@ -121,13 +122,14 @@ def decompose(tasks: DataFrame, insertion_after_first: bool = False, blank_is_co
     """tasks: task_id, diff, context, gold (validated struct). One row for each defect: id, parent,
     parent_defect, diff, context, gold (struct), status, reason, shared.
 
-    Lines, defects and hunks are read by several branches and persisted; clearCache() frees them."""
-    defects = gold_defects(tasks).persist()
-    lines = diffs.parse(tasks.select("task_id", "diff"), blank_is_context).persist()
-    split = split_by_defect(lines, defects, insertion_after_first).persist()
-    hunks = close_names(split, lines, defects).persist()
-    text = diffs.emit(hunks, SUB)
-    state = status(hunks, lines, defects)
+    What several branches read is written to the shared folder first, so that no branch repeats it."""
+    defects = stored(gold_defects(tasks), "defects")
+    lines = stored(diffs.parse(tasks.select("task_id", "diff"), blank_is_context), "lines")
+    split = stored(split_by_defect(lines, defects, insertion_after_first), "split")
+    hunks = stored(close_names(split, lines, defects), "hunks")
+    text = stored(diffs.emit(hunks, SUB), "texts")
+    state = stored(status(hunks, lines, defects), "states")
+    dropped(lines, split, hunks)
     whole = tasks.select("task_id", F.col("context").alias("parent_context"), "gold")
     rows = defects.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).join(state, SUB).join(text, SUB, "left").join(whole, "task_id")
     others = F.array_distinct(F.filter(F.transform("gold.defects", lambda d: d["file"]), lambda f: f != F.col("path")))

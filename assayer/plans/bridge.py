@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import contracts, diffs, inference, ledger, runs, scoring
 
 A, B = "m0", "m1"
-DRAWS = 500
+DRAWS = inference.DRAWS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -211,16 +211,8 @@ def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifth of the keys that this query's SQL is about; contract_violations_whole has all."""
-    return _violations(spark, table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"), table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0"))
-
-
-def contract_violations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _violations(spark, table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
-
-
-def _violations(spark: SparkSession, o: DataFrame, li: DataFrame) -> DataFrame:
     """Orders as traces and lineitems as verdicts: every rule has rows that break it."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     tr = o.select(F.col("o_orderkey").alias("trace_id"), (F.col("o_orderkey") % 6).alias("task_id")).distinct()
     claims = tr.select("trace_id", F.explode(F.sequence(F.lit(1), (F.col("trace_id") % 3 + 2).cast("int"))).alias("claim_id"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
@@ -326,6 +318,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         score_review, category_recall, trace_metrics, credit_state, duplicate_verdicts, rescore_rollouts, report_by_task_model, report_grand_mean, report_pivot, report_detail,
         bootstrap_gap, bootstrap_interval, bootstrap_observed, bootstrap_seeded, hunk_line_numbers, line_places, hunk_runs, context_kept, line_span_ownership, gold_anchor,
-        verbatim_containment, contract_violations, contract_violations_whole, dense_ids, prompt_assembly, token_estimate, budget_running, budget_hard_stop, content_keys, canonical_keys, context_prune,
+        verbatim_containment, contract_violations, dense_ids, prompt_assembly, token_estimate, budget_running, budget_hard_stop, content_keys, canonical_keys, context_prune,
         delimiter_balance, label_precision_recall, model_from_path, diff_file_list, text_seams,
     )}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +14,15 @@ TRACE = "task struct<data:struct<task_id:string>>, traces array<struct<rewards:m
 
 
 def run_lines(spark: SparkSession, runs: list[str], file: str = "traces.jsonl") -> DataFrame:
-    """run, run_ord, line_no, line: blank lines are skipped. The order of lines is taken here, since it
-    decides the order of models."""
-    text = spark.read.format("text").option("wholetext", True).load([f"{r}/{file}" for r in runs])
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    names = [r.rstrip("/").rpartition("/")[2] for r in runs]
-    order = F.create_map(*[F.lit(v) for i, n in enumerate(dict.fromkeys(names)) for v in (n, i)])
-    rows = text.select(F.url_decode(name).alias("run"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").withColumn("run_ord", order[F.col("run")])
+    """run, run_ord, line_no, line: a row for each line; blank ones are skipped. Large files are split,
+    so a line's place is the start of its part of the file and its number in that part; the order of
+    lines decides the order of models. Runs are in the order given, also where their names are equal."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"))
+    parts = [
+        spark.read.text(f"{run}/{file}").select(F.lit(run.rstrip("/").rpartition("/")[2]).alias("run"), F.lit(i).alias("run_ord"), at.alias("line_no"), F.col("value").alias("line"))
+        for i, run in enumerate(runs)
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).where(F.trim("line") != "")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.contracts import validate_gold
 from ..operators.subtasks import gold_json
+from ..storage import dropped, stored
 
 VERSION = "1"
 
@@ -23,11 +24,11 @@ def checked(subtasks: DataFrame) -> DataFrame:
 
 def write_subtasks(subtasks: DataFrame, out: str) -> None:
     """Valid ones to out/tasks; refused ones are appended to out/refused with their first violation."""
-    rows = checked(subtasks).persist()
+    rows = stored(checked(subtasks), "checked")
     rows.where("valid").drop("violations", "valid").write.mode("overwrite").parquet(f"{out}/tasks")
     refused = rows.where(~F.col("valid")).select("id", F.concat(F.lit("gold contract rejected: "), F.col("violations")[0]).alias("reason"))
     refused.write.mode("append").parquet(f"{out}/refused")
-    rows.unpersist()
+    dropped(rows)
 
 
 def write_folders(subtasks: DataFrame, out: str, meta: list[str] | None = None) -> list[str]:

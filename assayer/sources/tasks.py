@@ -35,7 +35,7 @@ def whole_files(spark: SparkSession, pattern: str) -> DataFrame:
     """directory, name, value: files read whole."""
     files = spark.read.format("text").option("wholetext", True).load(pattern)
     path = F.col("_metadata.file_path")
-    part = lambda i: F.url_decode(F.element_at(F.split(path, "/"), i))
+    part = lambda i: F.url_decode(F.replace(F.element_at(F.split(path, "/"), i), F.lit("+"), F.lit("%2B")))
     return files.select(part(-2).alias("directory"), part(-1).alias("name"), "value")
 
 

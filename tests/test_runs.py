@@ -51,6 +51,29 @@ def run_dirs(tmp_path):
     return [str(a), str(b)]
 
 
+def test_runs_of_one_name_and_lines_of_split_files(spark, tmp_path):
+    many = [json.dumps({"task": {"data": {"task_id": "t001"}}, "traces": [{"rewards": {"f1": {"score": 1.0}}, "agent": {"model": f"m{i:03d}"}}]}) for i in range(60)]
+    paths = []
+    for i, part in enumerate((many[:50][::-1], many[50:])):
+        folder = tmp_path / f"up+{i} x" / "run+1"
+        folder.mkdir(parents=True)
+        folder.joinpath("traces.jsonl").write_text("\r\n".join(part))
+        paths.append(str(folder))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        rows = rollouts(spark, paths)
+        assert rows.rdd.getNumPartitions() > 4 and {r["run"] for r in rows.collect()} == {"run+1"}
+        got = [r["model"] for r in runs.model_order(rows).orderBy("place").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"m{i:03d}" for i in [*range(50)[::-1], *range(50, 60)]]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "traces.jsonl").write_text("{")
+    with pytest.raises(Exception, match="MALFORMED"):
+        rollouts(spark, [str(tmp_path / "bad")]).collect()
+
+
 def test_reader_and_reports(spark, run_dirs):
     rows = rollouts(spark, run_dirs)
     assert sorted((r["model"], r["task_id"], r["f1"]) for r in rows.collect()) == [("alpha", "t001", 0.25), ("beta", "t001", 0.5), ("beta", "t001-d1", 1.0), ("plain", "t002", 0.75)]
