@@ -180,7 +180,7 @@ def score_documents(docs: DataFrame, path: str, train: str, text: str = "text",
             for i, t in enumerate(utf8_rows(b.column("_text"))):
                 found = t.lower().split()
                 which = np.fromiter(map(at.get, found, repeat(-1)), dtype=np.int64, count=len(found))
-                one = (int(rid[i]), i, b"\n" + int(rid[i]).to_bytes(8, "big"), 1, len(found) + 1, int(known[which].sum()) + (end[0] > 0), float(base[which].sum()) + math.log10(end[0] + 1), float(lat[which].sum()) + end[1])
+                one = (int(rid[i]), i, b"\n" + int(rid[i]).to_bytes(8, "big", signed=True), 1, len(found) + 1, int(known[which].sum()) + (end[0] > 0), float(base[which].sum()) + math.log10(end[0] + 1), float(lat[which].sum()) + end[1])
                 for o, v in zip(out, one):
                     o.append(v)
                 rare = Counter([found[j] for j in np.flatnonzero(which < 0).tolist()])

@@ -78,6 +78,38 @@ def test_plans_hold_everything_and_are_tight():
     assert check_plan({4096: 3, 1: 4096}, 4096) == 4
 
 
+def fewest(items, capacity):
+    """The fewest sequences that hold all items, by trying every way."""
+    items = sorted(items, reverse=True)
+    best = len(items)
+
+    def put(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(items):
+            best = len(room)
+            return
+        for j in range(len(room)):
+            if room[j] >= items[i] and room[j] not in room[:j]:
+                put(i + 1, [*room[:j], room[j] - items[i], *room[j + 1 :]])
+        put(i + 1, [*room, capacity - items[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plans_against_the_optimum():
+    rng, equal = random.Random(8), 0
+    for _ in range(150):
+        capacity = rng.choice([10, 24, 50])
+        items = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 12))]
+        n, least = check_plan(Counter(items), capacity), fewest(items, capacity)
+        assert least <= n <= least + 1
+        equal += n == least
+    assert equal >= 140
+
+
 def test_plan_size_does_not_follow_the_corpus():
     rng = random.Random(4)
     h = Counter(rng.randint(1, 500) for _ in range(2000))
@@ -135,6 +167,36 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(model.log_probability("ab" * 20_000))
 
 
+def test_piece_scores_count_the_vocabularys_own_segmentation(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    words = {b"the": 5, "\u00e9t\u00e9".encode(): 2, b"thinking": 3, b"unseen": 0, lattice.END: 7}
+    rows = spark.createDataFrame([(bytearray(w), c, c) for w, c in words.items()], "word binary, c long, t long")
+    logp, end = lattice.piece_scores(rows, PIECE)
+    n = np.ones(model.get_piece_size())
+    for w, c in words.items():
+        if w != lattice.END:
+            for piece in model.encode(w.decode()):
+                n[piece] += c
+    whole = n.sum() + 7 + 1
+    assert np.allclose(logp, np.log(n / whole)) and end == pytest.approx(np.log(8 / whole))
+
+
+def test_document_scores_against_all_segmentations(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "HOT", 4)
+    texts = ["the cat sat on the mat", "The CAT x\u4e2dy", "", None, "a a a b thinking", "\u00e9t\u00e9 the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trained = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens = [[*(t or "").encode().lower().split(), lattice.END] for t in texts]
+    seen = Counter(w for i in trained for w in tokens[i])
+    logp, end = lattice.piece_scores(spark.createDataFrame([(bytearray(w), c, c) for w, c in seen.items()], "word binary, c long, t long"), PIECE)
+    model = lattice.Lattice(PIECE, logp)
+    for r in lattice.score_documents(docs, PIECE, queries.LM_TRAIN).collect():
+        want = sum(end if w == lattice.END else brute(model, w.decode()) for w in tokens[r["doc_id"]]) / np.log(10)
+        assert r["score"] == pytest.approx(want)
+
+
 def test_scores(spark, odd, none, odd_rows, monkeypatch):
     monkeypatch.setattr(lattice, "HOT", 3)  # most words go the way of rare ones
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
