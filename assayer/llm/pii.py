@@ -1,12 +1,12 @@
 """Personal data: base rules, and further spans by weak supervision. DataFrame and SQL functions only.
 
-Candidates are the matches of wide patterns, a superset of the base rules'. Labelers vote on each: the
-format's own rules (regex), lists of known endings and prefixes (gazetteer), and the words and
-characters around it (context). How reliable each labeler is, and how likely a candidate with given
+Candidates are the matches of wide patterns, a superset of the base rules', with other ways of writing
+for each kind. Labelers vote on each: the format's own rules (regex), lists of known endings and
+prefixes (gazetteer), and the words and characters around it (context). How reliable each labeler is, and how likely a candidate with given
 votes is to be personal data, is estimated by expectation-maximisation; a logistic span classifier is
 then trained on those estimates. Both see the corpus only as counts of distinct votes and features,
 whose number is fixed by the labelers and not by the corpus. Base spans always stay; other candidates
-are added where the classifier is sure.
+of every format are added where the classifier is sure, and only there.
 
 Patterns are written so that a run of characters is tried once: possessive, and begun only where a run
 begins. They match what the plain forms match, leftmost and without overlap.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, text_or_empty, with_row_key
+from .common import dropped, stored, text_or_empty, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -31,6 +31,10 @@ CANDIDATES = {
     "phone": ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+"),
     "local": ("phone", r"(?<![0-9A-Za-z+])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", ""),
     "spelled": ("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}{{1,64}}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{{1,63}}+ ?[\[(]dot[\])] ?[A-Za-z]{{2,24}}+", "at"),
+    "defanged": ("ip", r"(?<![0-9.\]])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9\[.])", "[.]"),
+    "hexed": ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])", ":"),
+    "dotted": ("card", r"(?<![0-9A-Za-z./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z./_])", ""),
+    "abroad": ("phone", r"(?<![0-9A-Za-z+.,-])00[1-9](?:[ .()/-]{0,2}+[0-9]){8,14}+(?![0-9A-Za-z])", "00"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Endings of addresses, card prefixes, and country codes of the gazetteers.
@@ -92,12 +96,17 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), worth), F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
+def _quad(value: Column) -> Column:
+    """Whether the numbers between points are 255 at most."""
+    part = lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.concat(F.lit("0"), F.substring(F.ltrim(p, F.lit("0")), 1, 3)).cast("int") <= 255)
+    return F.forall(F.split(value, r"\."), part)
+
+
 def _base(name: Column, value: Column, digits: Column) -> Column:
     n = F.length(digits)
-    part = lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.concat(F.lit("0"), F.substring(F.ltrim(p, F.lit("0")), 1, 3)).cast("int") <= 255)
     return (
         F.when(name == "email", True)
-        .when(name == "ip", F.forall(F.split(value, r"\."), part))
+        .when(name == "ip", _quad(value))
         .when(name == "card", F.when(n.between(13, 19), _luhn(digits)).otherwise(False))
         .when(name == "phone", n.between(9, 15))
         .otherwise(False)
@@ -114,19 +123,25 @@ def candidates(scanned: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(v) for n, (k, _, _) in CANDIDATES.items() for v in (n, k)])[F.col("name")]
     local = F.regexp_extract("digits", "^.{3}", 0)
     vote = lambda c: F.when(c, 1).otherwise(-1)
+    plain = F.replace("value", F.lit("[.]"), F.lit("."))
     cue = F.lit(False)
     for k, words in CUES.items():
         cue = F.when(F.col("kind") == k, F.col("before").rlike(words)).otherwise(cue)
     return placed.withColumn("kind", kind).select(
         "rid", "_key", "name", "kind", "start", "end", "base",
-        F.when(F.col("name").isin("local", "spelled"), 0)
+        F.when(F.col("name").isin("local", "spelled", "hexed"), 0)
+        .when(F.col("name") == "defanged", vote(_quad(plain)))
+        .when(F.col("name") == "dotted", vote(_luhn(F.col("digits"))))
+        .when(F.col("name") == "abroad", vote(F.length("digits").between(11, 17)))
         .when((F.col("name") == "card") & (F.length("digits") > 19), vote(_luhn(F.left("digits", F.lit(16)))))
         .otherwise(vote(F.col("base")))
         .alias("rule"),
         F.when(F.col("kind") == "email", vote(F.lower("value").rlike(rf"(?:{ENDINGS})$")))
-        .when(F.col("name") == "ip", vote(~F.col("value").rlike(r"^0|\.0\.0\.0$")))
-        .when(F.col("name") == "card", vote(F.col("digits").rlike(rf"^(?:{CARD_PREFIXES})")))
+        .when(F.col("name").isin("ip", "defanged"), vote(~plain.rlike(r"^0|\.0\.0\.0$")))
+        .when(F.col("name") == "hexed", vote(F.lower("value").rlike("^(?:[23][0-9a-f]{3}|f[cde][0-9a-f]{2}):")))
+        .when(F.col("kind") == "card", vote(F.col("digits").rlike(rf"^(?:{CARD_PREFIXES})")))
         .when(F.col("name") == "phone", vote(F.col("digits").rlike(rf"^(?:{COUNTRY_CODES})")))
+        .when(F.col("name") == "abroad", vote(F.col("digits").rlike(rf"^00(?:{COUNTRY_CODES})")))
         .when(F.col("name") == "local", vote(~local.isin("555", "999", "911") & local.rlike("^[2-9][0-8]"))).alias("gazetteer"),
         F.when(cue, 1).otherwise(0).alias("cue"),
         F.when(F.col("before").rlike(AGAINST), -1).otherwise(0).alias("against"),
@@ -178,7 +193,7 @@ def _feature_names() -> list[tuple[str, object]]:
 
 def learned(found: DataFrame) -> Column:
     """The span classifier as an expression over candidates()."""
-    # six patterns, eight sizes and the labelers' votes: at most 6 * 8 * 3**5 rows
+    # ten patterns, eight sizes and the labelers' votes: at most 10 * 8 * 3**5 rows
     seen = found.where("name IS NOT NULL").groupBy("name", "size", *LABELERS).count().collect()
     if not seen:
         return F.lit(0.0)
@@ -198,15 +213,22 @@ def learned(found: DataFrame) -> Column:
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", sure: float = SURE) -> DataFrame:
     """rid, _key, kind, start, end, base, probability: a row for each span, and one with null kind for
-    each row without any. Added spans don't overlap base spans."""
-    found = stored(candidates(stored(scan(docs, text, key), "scan")), "candidates")
-    rated = found.withColumn("probability", learned(found))
+    each row without any. Added spans don't overlap base spans, and of added ones that overlap the first
+    stays (of those that begin together the longest)."""
+    scanned = stored(scan(docs, text, key), "scan")
+    found = stored(candidates(scanned), "candidates")
+    dropped(scanned)
     by = Window.partitionBy("rid").orderBy("start", "end")
     ended = F.max(F.when(F.col("base"), F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.min(F.when(F.col("base"), F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
-    rated = rated.withColumn("clear", (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (F.coalesce(begins, F.col("end")) >= F.col("end")))
-    # what breaks the rule of its own format (a checksum, a range) is never added
-    taken = F.col("base") | ((F.col("probability") >= sure) & F.col("clear") & (F.col("rule") >= 0))
+    # parts of base spans are neither learned from nor added
+    rated = found.withColumn("clear", (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (F.coalesce(begins, F.col("end")) >= F.col("end")))
+    rated = rated.withColumn("probability", learned(rated.where("base OR clear")))
+    # what fails the check of its own format (a checksum, a range) is dropped for good
+    rated = rated.withColumn("more", ~F.col("base") & (F.col("probability") >= sure) & F.col("clear") & (F.col("rule") >= 0))
+    ahead = Window.partitionBy("rid").orderBy("start", F.desc("end"), "name").rowsBetween(Window.unboundedPreceding, -1)
+    rated = rated.withColumn("taken_to", F.max(F.when(F.col("more"), F.col("end"))).over(ahead))
+    taken = F.col("base") | (F.col("more") & (F.coalesce("taken_to", F.lit(0)) <= F.col("start")))
     blank = ("name", "kind", "start", "end", "base", "probability")
     return rated.select("rid", "_key", *[F.when(taken, F.col(c)).alias(c) for c in blank])
 
@@ -216,7 +238,8 @@ def pii_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", sure
     spans (kind:start:end, comma-joined, by kind and start) and found, an array of (start, end, kind)
     by start.
 
-    Null counts as the empty text. Repeated rows are searched each. Other columns are ignored.
+    Null counts as the empty text. Repeated rows are searched each. Other columns are ignored. Very long
+    texts are searched whole, in time that grows with their length. An empty table gives no rows.
     """
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     rows = spans(docs, text, key, sure).withColumn("rank", rank)

@@ -130,6 +130,52 @@ def test_weak_spans_are_added_and_decoys_are_not(spark):
     assert all(added(2000 + i) == set() for i in range(200))
 
 
+def other_ways(rng, i):
+    """A text, and the personal data in it that the base patterns don't see, in all four kinds; decoys too."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    quad = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+    body = "4" + digits(14)
+    card = next(body + d for d in "0123456789" if luhn(body + d))
+    bad = next(body + d for d in "0123456789" if not luhn(body + d))
+    four = lambda c, s: s.join(c[j : j + 4] for j in range(0, 16, 4))
+    good = [
+        ("phone", f"({rng.randrange(200, 700)}) {rng.randrange(200, 999)}-{digits(4)}", "call "),
+        ("email", f"bob{i} [at] site{i} [dot] com", "mail "),
+        ("ip", quad.replace(".", "[.]"), "host "),
+        ("ip", ":".join(["2001", *(f"{rng.randrange(65536):x}" for _ in range(7))]), "address "),
+        ("card", four(card, rng.choice("./_")), "visa "),
+        ("phone", "0049 30 " + digits(3) + " " + digits(5), "phone "),
+    ]
+    decoys = [f"order no. {bad}", f"card {four(bad, '.')}", "version 1[.]2[.]3[.]999", f"invoice {digits(3)}.{digits(2)}", f"00:{digits(2)}:{digits(2)}", f"ratio 16:9 and {digits(2)}.{digits(2)}.2024", "2024-01-02 03:04:05"]
+    kind, value, cue = rng.choice(good)
+    cue = cue if rng.random() < 0.7 else "so "
+    text = f"é {rng.choice(decoys)}, {cue}"
+    return f"{text}{value} then {rng.choice(decoys)}. a{i}@b.org, 10.0.{i % 250}.1, 4111 1111 1111 1111, +1 202 555 0101", (kind, len(text), len(text) + len(value))
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    rng = random.Random(9)
+    made = [other_ways(rng, i) for i in range(900)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    hit = found = 0
+    kinds = {k: [0, 0] for k in pii.KINDS}
+    for r in pii.pii_documents(rows).collect():
+        text, want = made[r["doc_id"]]
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        base = plain_spans(text)
+        assert set(base) <= set(spans) and len(set(spans)) == len(spans)
+        added = set(spans) - set(base)
+        by_start = sorted((a, b) for _, a, b in added)
+        assert all(b <= c for (_, b), (c, _) in zip(by_start, by_start[1:])), "added spans don't overlap"
+        assert all(b <= c or d <= a for _, a, b in added for _, c, d in base)
+        found += len(added)
+        hit += want in added
+        kinds[want[0]][0] += want in added
+        kinds[want[0]][1] += 1
+    assert hit / found > 0.97 and hit / len(made) > 0.9, (hit, found)
+    assert all(x / n > 0.8 for x, n in kinds.values()), kinds
+
+
 def test_redaction(spark):
     spans = "array<struct<start:long,end:long,kind:string>>"
     rows = [("a b@c.d, é1.1.1.1!", [(2, 7, "email"), (10, 17, "ip")]), ("xx", []), ("abcdef", [(1, 4, "card"), (2, 5, "phone")])]
