@@ -1,7 +1,9 @@
 """Exact deduplication by content-defined chunk recipes. DataFrame and SQL functions only.
 
-A text is cut where its own content says so (at the first line end after MIN_CHUNK characters, else
-after MAX_CHUNK). Each chunk is named by a 64-bit hash, and the names are verified: chunks that carry
+A text is cut where its own content says so: after MIN_CHUNK characters at the first end of a line or a
+sentence, or where none comes soon at the first three characters of certain classes, of which any text
+in Latin letters or digits has some; MAX_CHUNK is for texts that have neither. After an insertion the
+cuts fall into step again within a few chunks, with or without line ends. Each chunk is named by a 64-bit hash, and the names are verified: chunks that carry
 one name must agree in length and in two halves of an MD5 digest, with one row per distinct chunk
 moved and not the chunk's text. A document becomes its ordered list of verified names; documents with
 equal lists are copies. Text is read once and never shuffled.
@@ -15,11 +17,13 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored, text_or_empty, with_row_key
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
+#: Ends of lines and sentences, and what cuts where they are rare: about one in forty places has it.
+ENDS, CLASSES = r"\n|[.!?]\s|[\x{3002}\x{FF01}\x{FF1F}]", "[a-dA-D0-2][e-mE-M3-5][n-zN-Z6-9]"
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
     """The text in pieces, in order and without loss. The empty text has none."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?\n|.{{1,{most}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{4 * least}}}?(?:{ENDS})|.{{{least},{most}}}?{CLASSES}|.{{1,{most}}}"), F.lit(0))
 
 
 def recipes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -63,7 +67,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Texts are equal when identical after lower-casing A-Z. Null counts as the empty text. Of equal
     texts the row with the largest key stays; null is the smallest key, and of rows that repeat the
-    largest key one stays. Other columns are ignored, whatever their names.
+    largest key one stays. Very long texts are many chunks, an empty table gives no rows. Other columns
+    are ignored, whatever their names.
     """
     rows = verified(stored(recipes(docs, text, key).withColumnRenamed(key, "_key"), "recipes"))
     rows = rows.withColumn("_hash", F.xxhash64("ids"))

@@ -50,12 +50,26 @@ def test_exact_dedup(spark, odd, none, odd_rows):
 
 
 def test_chunks_lose_nothing(spark):
-    texts = ["", "a\n" * 5000, "x" * 20_000, "ab\n\n c" * 3000]
+    texts = ["", "a\n" * 5000, "x" * 20_000, "ab\n\n\u2028c" * 3000, "one two. " * 3000, "\u4e00\u4e8c" * 9000, "\U0001F600 a\n" * 700]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).collect()
     assert ["".join(r["c"]) for r in rows] == texts
     assert all(len(c) <= exact_dedup.MAX_CHUNK for r in rows for c in r["c"])
 
 
+def test_chunks_fall_into_step_after_an_insertion(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 9)))
+    words = [word() for _ in range(8000)]
+    texts = [" ".join(words), "".join(words), "".join(w + rng.choice([" "] * 9 + [". ", "\n"]) for w in words), "".join(rng.choice("0123456789") for _ in range(40_000))]
+    rows = [(i, j, t[:777] + "inserted"[:j] + t[777:]) for i, t in enumerate(texts) for j in (0, 1, 8)]
+    cut = spark.createDataFrame(rows, "i int, j int, t string").select("i", "j", exact_dedup.chunks(F.col("t")).alias("c")).collect()
+    own = {(r["i"], r["j"]): r["c"] for r in cut}
+    for i in range(len(texts)):
+        assert len(own[i, 0]) > 20
+        for j in (1, 8):
+            assert len(set(own[i, 0]) & set(own[i, j])) > 0.8 * len(own[i, 0]), i
+
+
 def test_names_that_clash_are_told_apart(spark):
     part = lambda a, n: {"name": 7, "a": a, "b": 1, "n": n}
     rows = [(0, [part(1, 5)]), (1, [part(2, 5)]), (2, [part(1, 5)]), (3, [])]
