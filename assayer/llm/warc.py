@@ -262,14 +262,20 @@ def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
 
 
 def read_warc_files(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The same of .warc and .warc.gz files in any store that Spark reads."""
+    """The same of .warc and .warc.gz files in any store that Spark reads; a file is a row and a task's
+    work, so it may have 2 GB at most."""
     files = spark.read.format("binaryFile").load(path)
     return read_archives(files.select(F.col("path").alias("archive"), F.col("content").alias("data")), payload)
 
 
 def archive_pages(pages: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url", least: int = 0) -> DataFrame:
     """One row for each row of pages, as read back from the archives: key, payload_bytes,
-    payload_digest, record_type, refers_to. Other columns are ignored."""
+    payload_digest, record_type, refers_to. Other columns are ignored. Null payloads are empty ones,
+    repeated rows are records each (one is the response), addresses and payloads may have any length,
+    and an empty table gives no rows. These archives were written a moment ago, so damage in them is an
+    error."""
     kind = pages.schema[key].dataType
-    found = read_archives(write_archives(pages, payload, key, url, least)).where("quarantined IS NULL")
+    found = read_archives(write_archives(pages, payload, key, url, least))
+    damage = F.raise_error(F.concat_ws(" ", F.lit("damaged archive"), "archive", "quarantined"))
+    found = found.where(F.when(F.col("quarantined").isNull(), True).otherwise(damage))
     return found.select(F.col("page_id").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import media, warc
 
@@ -141,3 +142,35 @@ def test_warc_files(spark, tmp_path):
     rows = warc.read_warc_files(spark, f"{tmp_path}/*.warc.gz", payload=True).collect()
     assert [r["page_id"] for r in rows if r["quarantined"] is None] == ["0", "1", "2"]
     assert [r["end"] - r["start"] for r in rows if r["quarantined"]] == [4]
+
+
+def test_damage_in_own_archives_is_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "a" * 500 + str(i)) for i in range(5)], "page_id long, url string, html string")
+    real = warc.write_archives
+    data = F.concat(F.expr("substring(data, 1, 400)"), F.lit(b"x"), F.expr("substring(data, 402)"))
+    assert warc.archive_pages(pages).count() == 5
+    monkeypatch.setattr(warc, "write_archives", lambda *a: real(*a).select("archive", data.alias("data")))
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.archive_pages(pages).collect()
+
+
+def test_no_response_changes_with_the_way_files_are_split(spark, tmp_path):
+    """The row keys of two scans agree however the scans are cut."""
+    rows = [(i % 40 if i % 9 else None, f"u{i}", f"text {i % 25} " * 50) for i in range(600)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7).write.parquet(f"{tmp_path}/pages")
+    found = []
+    for size in ("2k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            pages = spark.read.parquet(f"{tmp_path}/pages")
+            keys = {(r["url"], r["rid"]) for r in warc.with_row_key(pages.select("url")).collect()}
+            assert len({k for _, k in keys}) == 600
+            plan = warc.decided(pages)
+            # the second scan of the join is made under another split than the first
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "3k" if size == "64m" else "64m")
+            found.append((keys, sorted(map(str, plan.drop("_body").collect()))))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1]
+    by_text = Counter(rows[int(u[1:])][2] for u in [r.split("_url='")[1].split("'")[0] for r in found[0][1] if "_again=False" in r])
+    assert len(by_text) == 25 and set(by_text.values()) == {1}
