@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 SAMPLE = 1200
 ROUNDS, BATCH, RATE, SEED = 8, 64, 0.01, 7
@@ -154,16 +156,17 @@ def text_scores(net: ByteCnn, tables: list[np.ndarray], data: np.ndarray, ends:
 
 
 def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", passed: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns passed, the predicted label and its score (0 to 1) for each row. Texts that are null
-    or have no letter are `und` with score 0, and so is every text if nothing was learned. Other
-    columns are ignored; names are those of the two new ones."""
+    """The columns passed, the predicted label and its score (0 to 1) for each row, repeated rows too.
+    Texts that are null or have no letter are `und` with score 0, and so is every text if nothing was
+    learned. All windows of very long texts count; an empty table gives no rows. Other columns are
+    ignored; names are those of the two new ones."""
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).otherwise("")
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(passed)], lettered.alias("_text"))
     kept = [f"_{i}" for i in range(len(passed))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, "_text")):
             column = b.column("_text")
             _, ends, data = column.buffers()
             at = np.frombuffer(ends, dtype=np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(b) + 1].astype(np.int64)

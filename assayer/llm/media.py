@@ -137,12 +137,18 @@ def decode_png(data: bytes) -> np.ndarray:
     return unfilter(np.frombuffer(raw, dtype=np.uint8).reshape(height, -1), step)
 
 
-@lru_cache(maxsize=1024)
-def _waves(n: int, a: int, b: int) -> np.ndarray:
-    """The HASH lowest cosines over n samples, at samples a to b."""
+def _cosines(n: int, a: int, b: int) -> np.ndarray:
     return np.cos(np.pi / n * np.outer(np.arange(HASH), np.arange(a, b) + 0.5))
 
 
+_kept_cosines = lru_cache(maxsize=512)(_cosines)
+
+
+def _waves(n: int, a: int, b: int) -> np.ndarray:
+    """The HASH lowest cosines over n samples, at samples a to b. Short ones are kept, 16 MB at most."""
+    return (_kept_cosines if b - a <= 512 else _cosines)(n, a, b)
+
+
 def cosine_hash(image: np.ndarray, block: int = 16384) -> bytes:
     """8 bytes: which of the 8 x 8 lowest cosine coefficients exceed their median (the constant one
     is left out of it). Images of any height are summed in blocks."""

@@ -40,8 +40,8 @@ from .merging import BatchMerger
 CAPACITY, END_ID, SMALL_SHARE = 4096, 1, 8
 #: Numbers of groups tried; the plan with the fewest sequences is taken.
 GROUPS = (12, 16, 24)
-#: Parts into which the pieces of one length are dealt to be numbered.
-DEAL = 256
+#: Pieces, of all lengths, for each part into which those of one length are dealt to be numbered.
+DEAL = 1 << 16
 #: Words kept by a Python worker (by generations, as many again), and the longest word kept.
 CACHE, CACHED_BYTES = 300_000, 40
 #: Fixed value: the pre-tokenization pattern of the word vocabulary.
@@ -350,7 +350,8 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple
 def pack(cut: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """cut (rid, piece, length and any other columns) with sequence_id and offset. Only the counts of
     each length, `capacity` rows at most, reach the driver."""
-    cut = stored(cut, "pieces").withColumn("_deal", F.pmod(F.xxhash64("rid", "piece"), F.lit(DEAL)))
+    cut = stored(cut, "pieces")
+    cut = cut.withColumn("_deal", F.pmod(F.xxhash64("rid", "piece"), F.lit(16 + cut.count() // DEAL)))
     counts = stored(cut.groupBy("length", "_deal").agg(F.count("*").alias("_n")), "lengths")
     found = places(best_plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}, capacity, groups))
     before = Window.partitionBy("length").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
@@ -379,6 +380,6 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "d
     """One row for each piece: rid, key, piece, start, length, ids_crc32, (ids), sequence_id, offset.
 
     Null counts as the empty text, which is one piece of the end id. Repeated rows are packed each.
-    An empty table gives no rows. Other columns are ignored.
+    An empty table gives no rows. Very long texts become many pieces. Other columns are ignored.
     """
     return pack(pieces(docs, path, text, key, capacity, end_id, with_ids), capacity)
