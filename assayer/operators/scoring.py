@@ -32,6 +32,32 @@ def credited(given: DataFrame) -> DataFrame:
     return live.groupBy("trace_id", "defect_id").agg(F.when(F.bool_or(F.col("status") == "full"), 1.0).otherwise(0.5).alias("credit"))
 
 
+#: What is counted of a trace's verdicts.
+COUNTS = ("distractor_hits", "false_alarms", "review_required", "duplicate", "matched")
+
+
+def tallies(verdicts: DataFrame) -> DataFrame:
+    """trace_id, the COUNTS of its verdicts, and credits: an array of (defect_id, credit), as many as
+    defects are credited."""
+    matched = F.col("kind") == "matched"
+    given = F.when(matched, F.array_compact(F.array("defect_id", "second_defect_id"))).otherwise(F.array().cast("array<string>"))
+    rows = verdicts.select("trace_id", "pos", "kind", "status", F.coalesce("unsure", F.lit(False)).alias("unsure"), F.posexplode_outer(given).alias("nth", "defect_id"))
+    first = F.min(F.when(F.col("status") == "full", F.col("pos"))).over(Window.partitionBy("trace_id", "defect_id"))
+    rows = rows.withColumn("spent", F.col("defect_id").isNull() | F.coalesce(first < F.col("pos"), F.lit(False)))
+    rows = rows.withColumn("again", F.bool_and("spent").over(Window.partitionBy("trace_id", "pos")))
+    lead = F.coalesce("nth", F.lit(0)) == 0  # of the rows of one verdict the first counts
+    each = rows.groupBy("trace_id", "defect_id").agg(
+        F.count_if(F.col("kind") == "distractor").alias("distractor_hits"),
+        F.count_if(F.col("kind") == "false_alarm").alias("false_alarms"),
+        F.count_if(lead & F.col("unsure")).alias("review_required"),
+        F.count_if(lead & matched & F.col("again")).alias("duplicate"),
+        F.count_if(lead & matched & ~F.col("again")).alias("matched"),
+        F.max(F.when(F.col("defect_id").isNotNull() & ~F.col("again"), F.when(F.col("status") == "full", 1.0).otherwise(0.5))).alias("credit"),
+    )
+    credit = F.when(F.col("credit").isNotNull(), F.struct("defect_id", "credit"))
+    return each.groupBy("trace_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.collect_list(credit).alias("credits"))
+
+
 def category_recall(traces: DataFrame, defects: DataFrame, given: DataFrame) -> DataFrame:
     """trace_id, category, recall over the category's defects."""
     gold = traces.join(defects, "task_id").select("trace_id", "defect_id", "category").distinct()
@@ -42,27 +68,21 @@ def category_recall(traces: DataFrame, defects: DataFrame, given: DataFrame) ->
 def score_reviews(traces: DataFrame, defects: DataFrame, claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row for each trace (trace_id, task_id) with its metrics.
 
-    defects: task_id, defect_id, category. claims: trace_id, claim_id. verdicts: trace_id, pos (their
+    defects: task_id, defect_id (text), category. claims: trace_id, claim_id. verdicts: trace_id, pos (their
     order decides duplicates), kind, defect_id, second_defect_id, status, unsure. A review without
-    claims has recall 0, precision 1, F1 0 and no categories. Everything is keyed by trace_id.
+    claims has recall 0, precision 1, F1 0 and no categories. Verdicts are dealt by trace_id once; every
+    window and count on the way keeps to that.
     """
-    given = credits(verdicts)
     n_claims = claims.groupBy("trace_id").agg(F.count("*").alias("claim_count"))
-    kinds = verdicts.groupBy("trace_id").agg(
-        F.count_if(F.col("kind") == "distractor").alias("distractor_hits"),
-        F.count_if(F.col("kind") == "false_alarm").alias("false_alarms"),
-        F.count_if(F.coalesce("unsure", F.lit(False))).alias("review_required"),
-    )
-    votes = given.groupBy("trace_id", "pos").agg(F.first("duplicate").alias("duplicate")).groupBy("trace_id")
-    judged = votes.agg(F.count_if("duplicate").alias("duplicate"), F.count_if(~F.col("duplicate")).alias("matched"))
-    credit = credited(given).groupBy("trace_id").agg(F.sum("credit").alias("credit"))
-    gold = defects.groupBy("task_id").agg(F.countDistinct("defect_id").alias("n_defects"))
-    categories = category_recall(traces, defects, given).groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "recall")))).alias("per_category"))
-    out = traces.join(gold, "task_id", "left")
-    for part in (n_claims, kinds, judged, credit, categories):
-        out = out.join(part, "trace_id", "left")
-    counts = ("n_defects", "claim_count", "distractor_hits", "false_alarms", "review_required", "duplicate", "matched")
-    out = out.fillna(0, list(counts)).fillna(0.0, ["credit"])
+    gold = defects.groupBy("task_id").agg(F.collect_set(F.struct("defect_id", "category")).alias("gold"), F.countDistinct("defect_id").alias("n_defects"))
+    out = traces.join(gold, "task_id", "left").join(n_claims, "trace_id", "left").join(tallies(verdicts), "trace_id", "left")
+    out = out.fillna(0, ["n_defects", "claim_count", *COUNTS])
+    found = F.coalesce("credits", F.array().cast("array<struct<defect_id:string,credit:double>>"))
+    out = out.withColumn("credit", F.aggregate(found, F.lit(0.0), lambda s, x: s + x["credit"])).withColumn("by_defect", F.map_from_entries(found))
+    of = lambda c: F.filter("gold", lambda g: g["category"] == c)
+    total = lambda c: F.aggregate(of(c), F.lit(0.0), lambda s, g: s + F.coalesce(F.col("by_defect")[g["defect_id"]], F.lit(0.0)))
+    categories = F.array_sort(F.array_distinct(F.transform("gold", lambda g: g["category"])))
+    out = out.withColumn("per_category", F.map_from_entries(F.transform(categories, lambda c: F.struct(c, total(c) / F.size(of(c))))))
     none = F.col("claim_count") == 0
     scoreable = F.col("claim_count") - F.col("duplicate")
     recall = F.when(none, 0.0).when(F.col("n_defects") == 0, 1.0).otherwise(F.col("credit") / F.greatest("n_defects", F.lit(1)))
