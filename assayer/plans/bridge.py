@@ -14,9 +14,12 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import contracts, diffs, inference, ledger, runs, scoring
+from ..storage import stored
 
 A, B = "m0", "m1"
 DRAWS = inference.DRAWS
+#: Passages (16 bytes each) that are broadcast to look for.
+LEADS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,7 +197,8 @@ def gold_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages found verbatim in documents, also within words. Of a passage of six words or
     more the second to the fifth stand whole in the document; their hash leads to it, so that not every
-    pair is compared. Shorter passages are compared with every document."""
+    pair is compared. Up to LEADS passages go to all tasks and documents stay where they are read; more are
+    joined by their hashes. Shorter passages are compared with every document."""
     b = table(spark, sf_dir, "benchmark").select("item_id", T.verbatim(F.col("text")).alias("quote")).withColumn("parts", F.split("quote", " "))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = d.select("doc_id", F.split(F.replace("text", F.lit("`"), F.lit("")), r"(?U)\s+").alias("words"))
@@ -202,9 +206,11 @@ def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.arrays_zip(F.col("words").alias("w0"), *[F.slice("words", F.lit(i + 1), F.size("words")).alias(f"w{i}") for i in (1, 2, 3)])
     leads = words.select("doc_id", F.array_distinct(F.transform(near, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(4)]))).alias("leads"))
     long = b.where(F.size("parts") >= 6).withColumn("lead", F.xxhash64(*[F.get("parts", F.lit(i)) for i in range(1, 5)]))
-    found = leads.select("doc_id", F.explode("leads").alias("lead")).join(long.select("item_id", "lead"), "lead").select("doc_id", "item_id")
-    # only documents that a lead hits are normalised
-    hit = found.distinct().join(d, "doc_id").join(long.select("item_id", "quote"), "item_id")
+    known = long.select("item_id", "lead")
+    known = F.broadcast(known) if known.count() <= LEADS else known
+    found = leads.select("doc_id", F.explode("leads").alias("lead")).join(known, "lead").select("doc_id", "item_id")
+    # only documents that a lead hits are normalised; the written pairs tell the planner their size
+    hit = d.join(stored(found.distinct(), "leads"), "doc_id").join(long.select("item_id", "quote"), "item_id")
     inside = F.contains(T.verbatim(F.col("text")), "quote")
     short = d.select("doc_id", T.verbatim(F.col("text")).alias("said")).join(b.where(F.size("parts") < 6).select("item_id", "quote"), F.contains("said", "quote"))
     return hit.where(inside).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
