@@ -213,7 +213,8 @@ def bpe_documents(docs: DataFrame, path: str, text: str = "text", key: str = "do
     """One row for each input row: rid, key, n_tokens and the outputs asked for: ids (array of int),
     decoded (the text that the ids decode to), ids_sha256 and decoded_sha256 (digests of the decimal
     ids joined by commas, and of the decoded text). Null counts as the empty text, which has no ids.
-    Repeated rows are encoded each; other columns are ignored. Texts stay where they are read.
+    Repeated rows are encoded each, also with null keys; very long texts are encoded whole; an empty
+    table gives no rows; other columns are ignored. Texts stay where they are read.
     """
     rows = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}

@@ -156,7 +156,9 @@ def score_documents(docs: DataFrame, path: str, train: str, text: str = "text",
     train is an SQL condition over docs that says which rows to learn from. Tokens are the words of the
     text (A-Z lower-cased) and one end. base_score is the add-one unigram log10 probability of the
     tokens, score the lattice's of the text. Null text is empty: the end alone. Without training rows
-    every count is 0. Repeated rows count each. Other columns are ignored.
+    every count is 0. Repeated rows count each, null and repeated keys are kept. Very long texts are
+    counted word by word, and a word of any length costs time in proportion to it. An empty table gives
+    no rows. Other columns are ignored.
     """
     rows = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(F.expr(train), F.lit(False)).alias("_train")))
     words = stored(word_counts(rows), "words")

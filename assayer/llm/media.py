@@ -162,7 +162,8 @@ def cosine_hash(image: np.ndarray, block: int = 16384) -> bytes:
 
 def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """rid, key, n_bytes (unpadded) and media, a binary column with a PNG of each text's UTF-8 bytes.
-    Null is the empty text, which is 64 zero bytes. Repeated rows are kept; other columns ignored."""
+    Null is the empty text, which is 64 zero bytes. Repeated rows are kept, also with null keys; very long
+    texts are images of many rows; an empty table gives no rows; other columns are ignored."""
     rows = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,10 @@ the shared bytes are tallied, pairs under the guaranteed count are dropped, and
 by their differing bits.
 
 Equal fingerprints are one entry. Of the links under a triple only a star over each linked set is
-kept, never the pairs themselves; a triple with more than CELL entries is dealt into blocks and each
-pair of blocks becomes a task, so that no task holds an unbounded group and no link is lost.
+kept, never the pairs themselves. Entries of a triple with more than CELL of them are posted again
+under that triple and each other position: two with four bytes in common meet there, in postings that
+are 1/256 as long. What is still longer is dealt into blocks and each pair of blocks becomes a cell, so
+that no task holds an unbounded group and no link is lost.
 """
 
 from __future__ import annotations
@@ -171,7 +173,16 @@ def links(entries: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFra
     fingerprints (column fp) with at most radius differing bits. radius is 4 at most."""
     if radius > 4:
         raise ValueError("four shared positional bytes are guaranteed up to 4 differing bits")
-    posts = entries.select(F.col("fp").alias("id"), F.explode(F.array(*[_posting(t, i) for i, t in enumerate(POSITIONS)])).alias("post"))
+    keys = F.array(*[_posting(t, i) for i, t in enumerate(POSITIONS)])
+    posts = entries.select("fp", F.posexplode(keys).alias("which", "post"))
+    hot = stored(posts.groupBy("post").count().where(F.col("count") > cell).select("post"), "hot")
+    if hot.isEmpty():
+        posts = posts.select(F.col("fp").alias("id"), "post")
+    else:
+        others = [F.array(*[_posting((*t, p), 64 + 8 * i + p) for p in range(8) if p not in t]) for i, t in enumerate(POSITIONS)]
+        more = F.explode(F.element_at(F.array(*others), F.col("which") + 1)).alias("post")
+        split = posts.join(hot, "post", "left_semi").select(F.col("fp").alias("id"), more)
+        posts = posts.join(hot, "post", "left_anti").select(F.col("fp").alias("id"), "post").unionByName(split)
     return in_cells(posts, lambda held, cells: stars(cells, held["id"].to_numpy(), radius), cell)
 
 
@@ -183,7 +194,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     them. A-Z are lower-cased; words are runs without space, tab or line control; texts with fewer
     words than a shingle are one shingle; null and wordless texts have fingerprint 0 and are linked
     like any other. Null keys are skipped for component_id, which is null if the group has no other.
-    Other columns are ignored.
+    Repeated rows are rows of one group. Very long texts are hashed whole, in slices; an empty table
+    gives no rows. Other columns are ignored.
     """
     rows = stored(fingerprints(docs, text, key, words), "fingerprints")
     n = rows.count()
