@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, utf8_rows, with_row_key
+from .common import mapped, sliced, utf8_rows, with_row_key
 
 SHORT = 128
 #: Units kept by a Python worker in each of two generations; longer units aren't kept.
@@ -247,4 +247,4 @@ def bpe_documents(docs: DataFrame, path: str, text: str = "text", key: str = "do
 
     kind = rows.schema["_key"].dataType.simpleString()
     schema = ", ".join(["rid long", f"_key {kind}", "n_tokens long", *[f"{o} {kinds[o]}" for o in outputs]])
-    return rows.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    return mapped(rows, run, schema).withColumnRenamed("_key", key)

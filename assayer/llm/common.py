@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,21 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import dropped, shared_root, stored  # noqa: F401
 
 #: Non-ASCII characters of these general categories are left as they are by ascii_lower; every
 #: character whose lower case differs is among them.
 _CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}&&[^\x00-\x7F]]"
+#: Rows of an Arrow batch, and the setting for it.
+BATCH_ROWS, _BATCH = 4096, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +102,29 @@ def utf8_rows(column: pa.Array) -> Iterator[bytes]:
         yield b"" if nulls and nulls[i] else held[at[i] - first : at[i + 1] - first]
 
 
+def tidy() -> None:
+    """Gives memory that Python workers and Arrow hold without need back to the system; workers are kept
+    between stages and would keep it too."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), with tidy() at the end of each task and batches of BATCH_ROWS rows at most:
+    with texts, the default of 10,000 would be tens of MB, several times over in Spark and in Python. The
+    session keeps that setting, or its own if that is smaller."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(whole, schema)
+
+
 def sliced(batch: pa.RecordBatch, column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes of a string column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -100,3 +133,5 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = 12 << 20) -> Iterator
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+            if len(edges) > 2:
+                tidy()

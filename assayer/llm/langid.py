@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import mapped, sliced
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 SAMPLE = 1200
@@ -180,4 +180,4 @@ def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", passed: tu
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(found.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], [*kept, "lang_pred", "score"])
 
     schema = rows.select(kept).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema).toDF(*passed, *names)
+    return mapped(rows, run, schema).toDF(*passed, *names)

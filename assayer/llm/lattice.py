@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8_rows, with_row_key
+from .common import mapped, stored, utf8_rows, with_row_key
 
 #: Words sent to the workers and their greatest length: at most HOT * (HOT_BYTES + 20) bytes.
 HOT, HOT_BYTES = 100_000, 48
@@ -108,7 +108,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if seen[0] or seen[1]:
             yield flush()
 
-    return rows.select("_text", "_train").mapInArrow(run, "word binary, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    return mapped(rows.select("_text", "_train"), run, "word binary, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 def piece_scores(words: DataFrame, path: str) -> tuple[np.ndarray, float]:
@@ -128,7 +128,7 @@ def piece_scores(words: DataFrame, path: str) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
     trained = words.where((F.col("c") > 0) & (F.col("word") != F.lit(END)))
-    counted = trained.select("word", "c").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counted = mapped(trained.select("word", "c"), run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     n = np.ones(Lattice(path).size)
     for piece, times in counted.collect():
         n[piece] += times
@@ -147,7 +147,7 @@ def word_scores(words: DataFrame, path: str) -> DataFrame:
             lat = [(end if w == END else lattice.log_probability(w.decode("utf-8", "replace"))) / LN10 for w in utf8_rows(b.column("word"))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lat, pa.float64())], [*b.schema.names, "lat"])
 
-    return words.mapInArrow(run, "word binary, c long, t long, lat double")
+    return mapped(words, run, "word binary, c long, t long, lat double")
 
 
 def score_documents(docs: DataFrame, path: str, train: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -200,7 +200,7 @@ def score_documents(docs: DataFrame, path: str, train: str, text: str = "text",
             )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    parts = rows.mapInArrow(run, f"rid long, _key {kind}, _train boolean, word binary, n long, n_tokens long, n_known long, base double, near double")
+    parts = mapped(rows, run, f"rid long, _key {kind}, _train boolean, word binary, n long, n_tokens long, n_known long, base double, near double")
     # each text's own row has a key that no word has, so that those rows are dealt evenly
     both = parts.join(scored.drop("t"), "word", "left")
     n = F.when(F.col("n_tokens").isNull(), F.col("n")).otherwise(0)

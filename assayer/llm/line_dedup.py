@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, scannable, sliced, stored, text_or_empty, unused, utf8_rows, with_row_key
+from .common import dropped, mapped, scannable, sliced, stored, text_or_empty, unused, utf8_rows, with_row_key
 
 MIN_WORDS = 50
 _STEP, _MARK = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -137,7 +137,7 @@ def sketch_table(rows: DataFrame, least: int) -> DataFrame:
                 where = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("rid").take(where), batch.column("_key").take(where), *[pa.array(o, k) for o, k in zip(out, kinds)]], ["rid", "_key", *names])
 
-    return rows.select("rid", "_key", "_text").mapInArrow(run, f"rid long, _key {kind}, a long, b long, pos array<int>, line array<long>, size array<int>, seed array<long>, nth array<int>, before array<binary>, after array<binary>")
+    return mapped(rows.select("rid", "_key", "_text"), run, f"rid long, _key {kind}, a long, b long, pos array<int>, line array<long>, size array<int>, seed array<long>, nth array<int>, before array<binary>, after array<binary>")
 
 
 def window_table(wanted: DataFrame, least: int) -> DataFrame:
@@ -160,7 +160,7 @@ def window_table(wanted: DataFrame, least: int) -> DataFrame:
             where = pa.array(np.concatenate(at))
             yield pa.RecordBatch.from_arrays([b.column("rid").take(where), b.column("_key").take(where), pa.array(np.concatenate(nth)), pa.array(np.concatenate(found))], ["rid", "_key", "nth", "w"])
 
-    return wanted.select("rid", "_key", "line", "size", "before", "after", "places").mapInArrow(run, f"rid long, _key {kind}, nth int, w long")
+    return mapped(wanted.select("rid", "_key", "line", "size", "before", "after", "places"), run, f"rid long, _key {kind}, nth int, w long")
 
 
 def longest_rise(values: list[int]) -> list[int]:
@@ -258,7 +258,7 @@ def aligned(pairs: DataFrame, least: int) -> DataFrame:
             found = [[pos[i] for i in gone(mine, size, theirs, set(sure), least)] for pos, mine, size, theirs, sure in zip(*columns)]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("partner_key"), pa.array(found, pa.list_(pa.int32()))], ["rid", "partner_key", "removed"])
 
-    return pairs.select("rid", "partner_key", "pos", "line", "size", "theirs", "sure").mapInArrow(run, f"rid long, partner_key {kind}, removed array<int>")
+    return mapped(pairs.select("rid", "partner_key", "pos", "line", "size", "theirs", "sure"), run, f"rid long, partner_key {kind}, removed array<int>")
 
 
 def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:

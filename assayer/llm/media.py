@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8_rows, with_row_key
+from .common import mapped, stored, utf8_rows, with_row_key
 
 WIDTH, LEVEL, CHUNK = 64, 6, 1 << 20
 HASH = 8
@@ -175,7 +175,7 @@ def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("_key"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["rid", "_key", "n_bytes", "media"])
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"rid long, _key {kind}, n_bytes long, media binary").withColumnRenamed("_key", key)
+    return mapped(rows, run, f"rid long, _key {kind}, n_bytes long, media binary").withColumnRenamed("_key", key)
 
 
 def media_features(media: DataFrame, column: str = "media", payload: bool = False) -> DataFrame:
@@ -207,7 +207,7 @@ def media_features(media: DataFrame, column: str = "media", payload: bool = Fals
     schema = media.select(kept).schema
     for n in names:
         schema = schema.add(n, {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}[made[n]])
-    return media.mapInArrow(run, schema)
+    return mapped(media, run, schema)
 
 
 def media_round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import SHORT, RankBpe
-from .common import sliced, stored, utf8_rows, with_row_key
+from .common import mapped, sliced, stored, utf8_rows, with_row_key
 from .merging import BatchMerger
 
 CAPACITY, END_ID, SMALL_SHARE = 4096, 1, 8
@@ -340,7 +340,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([b.column("rid").take(where), b.column("_key").take(where), *columns], ["rid", "_key", "piece", "start", "length", "ids_crc32", "ids"][: 6 + with_ids])
 
     schema = f"rid long, _key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return rows.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    return mapped(rows, run, schema).withColumnRenamed("_key", key)
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[Bins]:
@@ -373,7 +373,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GRO
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     schema = T.StructType([ranked.schema[c] for c in kept]).add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(run, schema)
+    return mapped(ranked, run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, utf8_rows, with_row_key
+from .common import dropped, mapped, stored, utf8_rows, with_row_key
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 4, 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("_key"), pa.array(fp)], ["rid", "_key", "fp"])
 
     kind = narrow.schema["_key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"rid long, _key {kind}, fp long")
+    return mapped(narrow, run, f"rid long, _key {kind}, fp long")
 
 
 def _posting(triple: tuple[int, ...], which: int) -> Column:
@@ -165,7 +165,7 @@ def in_cells(posts: DataFrame, compare: Callable[[dict[str, pa.Array], np.ndarra
             yield edges(pa.Table.from_batches(held))
 
     sorted_ = cells.select("cell", *kept).repartition("cell").sortWithinPartitions("cell")
-    return sorted_.mapInArrow(run, "child long, parent long")
+    return mapped(sorted_, run, "child long, parent long")
 
 
 def links(entries: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:

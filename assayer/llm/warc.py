@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, utf8_rows, with_row_key
+from .common import mapped, stored, utf8_rows, with_row_key
 
 ARCHIVE_BYTES, LEVEL, STEP = 4 << 20, 6, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
@@ -234,7 +234,7 @@ def write_archives(pages: DataFrame, payload: str = "html", key: str = "page_id"
         if held:
             yield archive()
 
-    return stored(decided(pages, payload, key, url, least).mapInArrow(run, "archive string, data binary"), "archives")
+    return stored(mapped(decided(pages, payload, key, url, least), run, "archive string, data binary"), "archives")
 
 
 def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
@@ -258,7 +258,7 @@ def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:n], kinds)], names[:n])
 
     schema = "archive string, start long, end long, quarantined string, record_type string, page_id string, url string, payload_digest string, payload_bytes long, refers_to string" + ", payload binary" * payload
-    return archives.select("archive", "data").mapInArrow(run, schema)
+    return mapped(archives.select("archive", "data"), run, schema)
 
 
 def read_warc_files(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
