@@ -67,23 +67,34 @@ def detail(rollouts: DataFrame) -> DataFrame:
     ).agg(F.avg("f1").alias("f1"), *means)
 
 
-def _cell(value: float | None, digits: int = 2) -> str:
-    return "—" if value is None else f"{value:.{digits}f}"
+def _shown(value: float | None, digits: int = 2, bold: bool = False) -> str:
+    if value is None:
+        return "—"
+    return f"**{value:.{digits}f}**" if bold else f"{value:.{digits}f}"
+
+
+def _markdown(head: list[str], body: list[list[str]]) -> str:
+    lines = [f"| {' | '.join(cells)} |" for cells in (head, *body)]
+    return "\n".join([lines[0], "|" + "---|" * len(head), *lines[1:]])
 
 
 def markdown_table(rollouts: DataFrame, which: str, models: list[str]) -> str:
     """The F1 table of a population; tasks times models cells reach the driver."""
-    rows = pivoted(rollouts, models).where(F.col("population") == which).orderBy("task_id").collect()
-    means = {r["model"]: r["f1"] for r in grand_mean(rollouts).where(F.col("population") == which).collect()}
-    out = ["| Task | " + " | ".join(f"{m} F1" for m in models) + " |", "|---" * (len(models) + 1) + "|"]
-    out += [f"| {r['task_id']} | " + " | ".join(_cell(r[m]) for m in models) + " |" for r in rows]
-    return "\n".join([*out, "| **Mean** | " + " | ".join(f"**{_cell(means[m])}**" if m in means else "—" for m in models) + " |"])
+    by_task = pivoted(rollouts, models).where(F.col("population") == which).orderBy("task_id").collect()
+    whole = {r["model"]: r["f1"] for r in grand_mean(rollouts).where(F.col("population") == which).collect()}
+    body = [[r["task_id"], *(_shown(r[m]) for m in models)] for r in by_task]
+    return _markdown(["Task", *(f"{m} F1" for m in models)], [*body, ["**Mean**", *(_shown(whole.get(m), bold=True) for m in models)]])
+
+
+#: Columns of the detail table: heading, metric, digits.
+SHOWN = [("F1", "f1", 2), ("Recall", "recall", 2), ("Precision", "precision", 2), ("Claims", "claim_count", 1), ("False alarms", "false_alarms", 1), ("Distractor hits", "distractor_hits", 1)]
 
 
 def markdown_detail(rollouts: DataFrame, which: str, model: str) -> str:
-    rows = detail(rollouts).where((F.col("population") == which) & (F.col("model") == model)).orderBy(F.col("task_id").asc_nulls_last()).collect()
-    out = ["| Task | F1 | Recall | Precision | Claims | False alarms | Distractor hits |", "|---|---|---|---|---|---|---|"]
-    for r in rows:
-        name, one = ("**Mean**", f"**{_cell(r['f1'])}**") if r["task_id"] is None else (r["task_id"], _cell(r["f1"]))
-        out.append(f"| {name} | {one} | {_cell(r['recall'])} | {_cell(r['precision'])} | " + " | ".join(_cell(r[n], 1) for n in DETAIL[2:]).replace(" | ", " | ") + " |")
-    return "\n".join(out)
+    """The means of one model by task, and over all of them last."""
+    own = detail(rollouts).where((F.col("population") == which) & (F.col("model") == model))
+    body = []
+    for r in own.orderBy(F.col("task_id").asc_nulls_last()).collect():
+        last = r["task_id"] is None
+        body.append(["**Mean**" if last else r["task_id"], *(_shown(r[c], digits, bold=last and c == "f1") for _, c, digits in SHOWN)])
+    return _markdown(["Task", *(head for head, _, _ in SHOWN)], body)
