@@ -191,3 +191,23 @@ def test_each_run_of_words_has_a_hash_in_common():
         assert {int(h) for h in one.seeds(30)[0]} & {int(h) for h in two.seeds(30)[0]}
         both = [{int(w) for i in range(len(s.size)) for w in line_dedup.windows(int(s.lines()[i]), int(s.size[i]), *(e[i] for e in s.edges(30)), 30)} for s in (one, two)]
         assert both[0] & both[1]
+
+
+def test_the_way_files_are_split_changes_nothing(spark, tmp_path):
+    """The keys of the first scan find the same rows in a second one that is cut otherwise."""
+    passages = [words(f"p{i}_", 60) for i in range(12)]
+    rows = [(i % 50 if i % 7 else None, f"own {i}\n{passages[i % 12]}\nend {i}", i) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(5).write.parquet(f"{tmp_path}/docs")
+    found = []
+    for first, second in (("1k", "64m"), ("64m", "1k"), ("64m", "64m")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+        try:
+            done = line_dedup.line_dedup(spark.read.parquet(f"{tmp_path}/docs"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            found.append({r["n"]: (r["text"], tuple(r["_dedup"]["removed"])) for r in done.collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == found[2] and sum(bool(gone) for _, gone in found[0].values()) == 300 - 12
+    for n, (text, gone) in found[0].items():
+        assert text == "\n".join(x for p, x in enumerate(rows[n][1].split("\n")) if p not in gone)
+        assert gone in ((), (1,))

@@ -64,3 +64,40 @@ def test_queries_against_sql(spark):
         c = sorted(want.columns)
         say = lambda df: sorted(str([None if pd.isna(v) else v for v in r]) for r in df[c].astype(object).values.tolist())  # noqa: B023, E731
         assert sorted(got.columns) == c and [x.replace(".0", "") for x in say(got)] == [x.replace(".0", "") for x in say(want)], name
+
+
+def test_the_way_files_are_split_changes_nothing(spark, tmp_path):
+    mail = lambda i: f"person{i}@site{i}.com"
+    text = lambda i: " ".join(f"w{i}_{j}" for j in range(40)) + f" write to {mail(i)} soon"
+    rows = [(i if i % 5 else None, text(i % 60), None, None, i) for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6).write.parquet(f"{tmp_path}/docs")
+    found = []
+    for first, second in (("1k", "64m"), ("64m", "1k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+        try:
+            docs = spark.read.parquet(f"{tmp_path}/docs")
+            one, private = cp.near_duplicates(spark, docs, ""), cp.personal_data(spark, docs, "")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            found.append((sorted(map(str, one.select("doc_id", "text").collect())), sorted(r["text"] for r in private.collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len(found[0][0]) == 60
+    assert all("<EMAIL> soon" in t and "@" not in t for t in found[0][1])
+
+
+def test_frames_that_are_not_plain_scans_are_stored(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from assayer.llm import common
+
+    docs = corpus(spark)
+    docs.write.parquet(f"{tmp_path}/docs")
+    scan = spark.read.parquet(f"{tmp_path}/docs")
+    assert common.scannable(scan) is scan
+    plain = scan.where("doc_id > 3").select("text", F.col("doc_id").alias("_metadata"))
+    assert common.scannable(plain) is plain and "rid" in common.with_row_key(plain).columns
+    for other in (scan.unionByName(scan), scan.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), scan.withColumn("x", F.rand()), scan.join(scan.select("doc_id").distinct(), "doc_id"), docs, scan.limit(5)):
+        kept = common.scannable(other)
+        assert kept is not other
+        keys = [r["rid"] for r in common.with_row_key(kept).collect()]
+        assert len(set(keys)) == len(keys) == kept.count()
