@@ -4,7 +4,9 @@ records made from the tables in such a way that SQL knows what must come out; ma
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import contracts, diffs, inference, judging, ledger, names, runs, scoring, subtasks
-from ..sources.runs import parse_lines
-from ..sources.sinks import checked
+from ..sources import tasks
+from ..sources.runs import parse_lines, rollouts
+from ..sources.sinks import checked, write_folders
+from ..storage import folder
 from . import bridge
 from .bridge import rounded, table
 
@@ -332,8 +336,59 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", "diff", "family", F.col("gold.difficulty").alias("difficulty"), F.array_join(F.col("gold.defects")[0]["lines"], ",").alias("lines"), F.size("gold.distractors").cast("long").alias("distractors"))
 
 
+# files
+
+
+def _on_driver(path: str) -> str:
+    """A path of the shared folder for the driver's own writers, which know local files only."""
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def loaded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as task folders, written and read again."""
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    gold = F.to_json(F.struct(
+        _text("t00", F.col("k"), "-x").alias("id"), F.lit("easy").alias("difficulty"), F.struct(F.lit("synthetic").alias("kind")).alias("source"),
+        F.array(F.struct(F.lit("d1").alias("id"), F.lit("data").alias("category"), _text(" f", F.col("k"), ".py ").alias("file"), F.array(F.lit(1), F.lit(1)).alias("lines"), F.col("name").alias("summary"), F.lit("r: #1").alias("rationale"))).alias("defects"),
+        F.array().cast("array<string>").alias("distractors"), F.when(F.col("k") % 2 == 0, F.col("name")).alias("prompt_notes"),
+    ))
+    path = _text("f", F.col("k"), ".py")
+    diff = _text("diff --git a/", path, " b/", path, "\n--- a/", path, "\n+++ b/", path, "\n@@ -1,1 +1,1 @@\n-old\n+new ", F.col("name"), "\n")
+    rows = contracts.validate_gold(r.select(_text("t00", F.col("k"), "-x").alias("directory"), gold.alias("gold"), diff.alias("diff"), _text("About ", F.col("name"), "\n").alias("context"), F.lit("clean").alias("status"), F.lit("p").alias("parent")))
+    root = _on_driver(folder(spark, "tasks"))
+    write_folders(rows.where("valid").withColumn("id", F.col("directory")).drop("valid", "violations"), root)
+    loaded = tasks.load_tasks(spark, root).join(tasks.task_meta(spark, root).withColumnRenamed("directory", "task_id"), "task_id")
+    one = F.col("gold.defects")[0]
+    return loaded.select("task_id", F.array_join("file_list", ",").alias("files"), F.sha2("prompt", 256).alias("prompt_sha256"), F.trim(one["file"]).alias("file"), F.array_join(one["lines"], ",").alias("lines"), one["rationale"].alias("rationale"), "status", "parent", "generator")
+
+
+def read_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of made_lines as two run folders, with blank lines, read again."""
+    lines, root = made_lines(spark, sf_dir), folder(spark, "runs")
+    names = ["env--prov--beta--h--1", "plain"]
+    for name in names:
+        own = lines.where(F.col("run") == name).withColumn("line", F.when(F.col("line_no") % 9 == 0, F.concat("line", F.lit("\n  \n"))).otherwise(F.col("line")))
+        own.select("line").write.text(f"{root}/{name}/traces.jsonl")
+    return rollouts(spark, [f"{root}/{n}" for n in names]).select("run", "run_ord", F.col("trace_pos").cast("long").alias("trace_pos"), "model", "task_id", "f1")
+
+
+def read_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as template files; a prompt file beside them gives its text and version."""
+    root = Path(_on_driver(folder(spark, "templates")))
+    root.mkdir(parents=True)
+    rows = table(spark, sf_dir, "region").collect()  # a table of five rows
+    for r in rows:
+        said = {"id": f"t00{r['r_regionkey']}-x", "difficulty": "easy", "family": "fam", "defect_id": "d1", "category": "data", "file": "f.py", "lines": [1, 2], "summary": r["r_name"], "rationale": "r", "context": "c"}
+        said |= {"base": {"f.py": f"a\nb\n{r['r_name']}"}, "defective": {"f.py": f"a\nb: #\n{r['r_name']}"}}
+        (root / f"{r['r_name']}.yaml").write_text(json.dumps(said))
+    (root / "extractor.v3.md").write_text("Find: claims\n")
+    made_ = subtasks.generate(tasks.templates(spark, f"{root}/*.yaml"))
+    prompt = tasks.prompt_text(spark, str(root), "extractor.v3")
+    return made_.select("id", "diff", F.col("gold.defects")[0]["summary"].alias("summary"), prompt.alias("prompt"), T.stem(F.lit(f"{root}/extractor.v3.md")).alias("version"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         diff_parse, diff_emit, diff_paths, hunk_headers, line_conflicts, gold_violations, gold_quarantine, claim_violations, rate_violations, zero_claims, trace_lines, model_order, report_lines, significance_lines,
-        verdict_keys, gold_versions, request_prompts, judge_replay, judge_verdicts, rewards, code_names, decomposed, subtask_gate, gold_views, generated,
+        verdict_keys, gold_versions, request_prompts, judge_replay, judge_verdicts, rewards, code_names, decomposed, subtask_gate, gold_views, generated, loaded_tasks, read_runs, read_templates,
     )}

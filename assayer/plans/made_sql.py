@@ -155,6 +155,13 @@ SQL = {
         dd AS (SELECT k, string_agg('{"id":"d' || n || '","category":"' || c || '","file":"' || p || '.py","lines":["' || lo || '","' || lo || '"],"summary":"s' || k || '"}', ',' ORDER BY n) AS said FROM d GROUP BY k),
         x AS (SELECT k, CASE WHEN k % 2 = 0 THEN [('1', 'b', 'null'), ('2', 'a', '["1","1"]'), ('3', 'b', 'null')] ELSE [('1', 'c', 'null'), ('2', 'c', 'null')] END AS xs FROM t)
         SELECT 't' || k AS task_id, sha256('{"defects":[' || said || '],"distractors":[' || array_to_string(list_transform(xs, lambda y: '{"id":"x' || y[1] || '","file":"' || y[2] || '.py","lines":' || y[3] || ',"concern":"c' || y[1] || '","why_ok":"w"}'), ',') || ']}') AS view_sha256 FROM dd JOIN x USING (k)""",
+    "loaded_tasks": f"""WITH q AS (SELECT r_regionkey AS k, r_name AS name, 'f' || r_regionkey || '.py' AS path FROM region),
+        d AS (SELECT *, 'diff --git a/' || path || ' b/' || path || {_N} || '--- a/' || path || {_N} || '+++ b/' || path || {_N} || '@@ -1,1 +1,1 @@' || {_N} || '-old' || {_N} || '+new ' || name || {_N} AS diff FROM q)
+        SELECT 't00' || k || '-x' AS task_id, path AS files, sha256('## Context' || {_N} || {_N} || 'About ' || name || {_N} || {_N} || {_N} || '## Description' || {_N} || {_N} || CASE WHEN k % 2 = 0 THEN name ELSE '(no description provided)' END || {_N} || {_N} || '## Diff' || {_N} || {_N} || diff) AS prompt_sha256,
+          path AS file, '1,1' AS lines, 'r: #1' AS rationale, 'clean' AS status, 'p' AS parent, 'assayer' AS generator FROM d""",
+    "read_runs": f"WITH {LINES_OF_RUNS} SELECT run, CAST(CASE WHEN run = 'plain' THEN 1 ELSE 0 END AS INTEGER) AS run_ord, CAST(trace_pos AS BIGINT) AS trace_pos, model, 't' || (line_no % 6) AS task_id, f1 FROM w",
+    "read_templates": f"""WITH q AS (SELECT r_regionkey AS k, r_name AS name, 'f.py' AS path FROM region)
+        SELECT 't00' || k || '-x' AS id, {_HEAD} '@@ -1,3 +1,3 @@' || {_N} || ' a' || {_N} || '-b' || {_N} || '+b: #' || {_N} || ' ' || name || {_N} AS diff, name AS summary, 'Find: claims' || {_N} AS prompt, 'extractor.v3' AS version FROM q""",
     "generated": f"""WITH q AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN '@@ -1,3 +1,3 @@' || {_N} || ' one' || {_N} || '-two ' || p_partkey || {_N} || '+TWO ' || p_partkey || {_N} || ' three'
           WHEN 1 THEN '@@ -2,2 +2,3 @@' || {_N} || ' two ' || p_partkey || {_N} || '+new' || {_N} || ' three' ELSE '@@ -1,3 +1,2 @@' || {_N} || ' one' || {_N} || '-two ' || p_partkey || {_N} || ' three' END AS body, 'f.py' AS path FROM part)
         SELECT 't' || k AS id, {_HEAD} body || {_N} AS diff, CASE WHEN k % 5 = 0 THEN 'fam' ELSE '' END AS family, CASE WHEN k % 2 = 0 THEN 'medium' ELSE 'easy' END AS difficulty, '2,3' AS lines, CAST(0 AS BIGINT) AS distractors FROM q""",

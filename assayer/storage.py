@@ -55,6 +55,13 @@ def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder for files of other kinds; it goes when the driver ends."""
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
 def _remove(path: str) -> None:
     spark = _made.pop(path, None)
     if spark is not None:
