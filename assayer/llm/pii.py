@@ -235,7 +235,7 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", sure: float
 
 def pii_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", sure: float = SURE) -> DataFrame:
     """One row for each input row: rid, key, n_email, n_ip, n_card, n_phone (base spans), base_sha256,
-    spans (kind:start:end, comma-joined, by kind and start) and found, an array of (start, end, kind)
+    spans (kind:start:end, comma-joined, by kind and start), n_spans (of all kinds) and found, an array of (start, end, kind)
     by start.
 
     Null counts as the empty text. Repeated rows are searched each. Other columns are ignored. Very long
@@ -251,7 +251,7 @@ def pii_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", sure
         F.collect_list(F.when(F.col("kind").isNotNull(), entry)).alias("all"),
         F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "end", "kind")))).alias("found"),
     )
-    return out.select("rid", F.col("_key").alias(key), *[f"n_{k}" for k in KINDS], F.sha2(said(F.col("own")), 256).alias("base_sha256"), said(F.col("all")).alias("spans"), "found")
+    return out.select("rid", F.col("_key").alias(key), *[f"n_{k}" for k in KINDS], F.sha2(said(F.col("own")), 256).alias("base_sha256"), said(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"), "found")
 
 
 def redacted(text: Column, found: Column) -> Column:
