@@ -18,8 +18,8 @@ from ..storage import dropped, shared_root, stored  # noqa: F401
 #: Non-ASCII characters of these general categories are left as they are by ascii_lower; every
 #: character whose lower case differs is among them.
 _CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}&&[^\x00-\x7F]]"
-#: Rows of an Arrow batch, and the setting for it.
-BATCH_ROWS, _BATCH = 4096, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch, and the setting for it.
+BATCH_BYTES, _BATCH = 12 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -111,12 +111,13 @@ def tidy() -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema), with tidy() at the end of each task and batches of BATCH_ROWS rows at most:
-    with texts, the default of 10,000 would be tens of MB, several times over in Spark and in Python. The
-    session keeps that setting, or its own if that is smaller."""
+    """df.mapInArrow(run, schema), with tidy() at the end of each task and batches of BATCH_BYTES at most (or
+    one row): a batch is held several times over in Spark and in Python, and rows may be long. The session
+    keeps that setting, or its own if that is smaller."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    now = conf.get(_BATCH).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -125,7 +126,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(whole, schema)
 
 
-def sliced(batch: pa.RecordBatch, column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes of a string column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // most
