@@ -126,9 +126,10 @@ def stars(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return fp[child], fp[top[child]]
 
 
-def in_cells(posts: DataFrame, compare: Callable[[dict[str, pa.Array], np.ndarray], tuple[np.ndarray, np.ndarray]], cell: int = CELL) -> DataFrame:
+def in_cells(posts: DataFrame, compare: Callable[[dict[str, pa.Array], np.ndarray], tuple[np.ndarray, np.ndarray]], cell: int = CELL, gather: int = GATHER) -> DataFrame:
     """child, parent: what compare finds among the entries of each posting. posts: post (long), id (long)
-    and any other columns. compare gets columns sorted by their cell, and the cells.
+    and any other columns. compare gets columns sorted by their cell, and the cells, of whole cells with
+    gather rows or little more.
 
     Postings of more than cell entries are dealt into blocks by id, and each pair of blocks is a cell of
     its own, so that no task holds an unbounded group and any two entries meet."""
@@ -154,7 +155,7 @@ def in_cells(posts: DataFrame, compare: Callable[[dict[str, pa.Array], np.ndarra
         for b in batches:
             held.append(b)
             rows += len(b)
-            if rows >= GATHER:
+            if rows >= gather:
                 whole = pa.Table.from_batches(held)
                 c = whole.column("cell").to_numpy()
                 cut = int(np.searchsorted(c, c[-1]))  # the last cell may go on
