@@ -1,6 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word-shingle sets, 0.8 or more.
 
-This is the byte-position index with count filtering of simhash.py over other bytes: at a similarity of
+First the method of simhash.py: each set has a SimHash fingerprint, the byte-position index puts
+fingerprints of RADIUS differing bits or fewer together after counting shared bytes, and each entry is
+verified on the whole sets against the smallest one linked to it. What lies beyond the radius, or was put
+together with another than its own neighbour, is left to a wider index, which loses no link of 0.8.
+
+The wider index is the same one, with count filtering, over other bytes: at a similarity of
 0.8 two SimHash fingerprints differ in about ten of 64 bits, where shared bytes guarantee nothing, so a
 text's positional bytes are those of its min-hashes here, of which two texts share a part that is
 their similarity. Candidates meet where ROWS positions agree as a whole, in one of BANDS postings: a pair
@@ -10,8 +15,8 @@ it with probability 1.5e-6), and so are those that share less than NEARLY of the
 finer positions (five deviations below 0.8). The rest are verified on the whole sets, so nothing below
 0.8 is linked.
 
-Equal sets are one entry. Each entry is first compared with one other of its fullest posting, twice, then
-the entries of every posting with one of them, with another one each time, for as long as that joins
+Equal sets are one entry. Each entry that SimHash leaves is first compared with one other of its fullest
+posting, twice, then the entries of every posting with one of them, with another one each time, for as long as that joins
 many; all this is linear. Then those that are not yet in one component are compared with each other in
 bounded cells, so no candidate is left out.
 """
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, mapped, sliced, stored, utf8_rows, with_row_key
 from .components import components
-from .simhash import CELL, in_cells
+from .simhash import CELL, RADIUS, bit_counts, in_cells, links, majority
 
 SEED, BANDS, ROWS = 42, 24, 4
 #: Shared positional bytes, of BANDS * ROWS, that a pair must have.
@@ -70,6 +75,15 @@ def signature(hashes: np.ndarray) -> tuple[list[int], bytes]:
     return np.array(numbers, dtype=np.uint64).view(np.int64).tolist(), (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set: the bits that over half of its hashes have, as a signed 64-bit number."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), _SLICE):
+        ones += bit_counts(hashes[i : i + _SLICE])
+    found = majority(ones, len(hashes))
+    return found - (found >> 63 << 64)
+
+
 def finer(hashes: np.ndarray) -> bytes:
     """A byte for each of BINS parts of the shingles: of the least hash in it, 0 if there is none."""
     part, first = np.unique(hashes % np.uint64(BINS), return_index=True)
@@ -92,23 +106,25 @@ def finer_table(sets: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """rows: rid, _key, _text. rid, _key, sid (a hash of the set), n (its size) and its signature()."""
+    """rows: rid, _key, _text. rid, _key, sid (a hash of the set), n (its size), fp (its SimHash) and its
+    signature()."""
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, n, found, places = [], [], [], []
+            sid, n, fp, found, places = [], [], [], [], []
             for text in utf8_rows(b.column("_text")):
                 hashes = shingle_set(text, words)
                 sid.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
                 n.append(len(hashes))
+                fp.append(set_fingerprint(hashes))
                 numbers, held = signature(hashes)
                 found.append(numbers)
                 places.append(held)
-            columns = [b.column("rid"), b.column("_key"), pa.array(np.array(sid, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "_key", "sid", "n", "bands", "places"])
+            columns = [b.column("rid"), b.column("_key"), pa.array(np.array(sid, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "_key", "sid", "n", "fp", "bands", "places"])
 
-    return mapped(rows, run, f"rid long, _key {kind}, sid long, n int, bands array<long>, places binary")
+    return mapped(rows, run, f"rid long, _key {kind}, sid long, n int, fp long, bands array<long>, places binary")
 
 
 def whole_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -136,6 +152,19 @@ def _pair(one: str, other: str) -> list:
     return [F.greatest(one, other).alias("child"), F.least(one, other).alias("parent")]
 
 
+def simhash_pairs(entries: DataFrame, n: int, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """entries: sid and fp, n rows. Pairs (child, parent) whose components are those of all entries with
+    fingerprints of at most radius differing bits, equal ones included; a star over each linked set."""
+    first = stored(entries.groupBy("fp").agg(F.min("sid").alias("first")), "fingerprints", n)
+    same = entries.join(first, "fp").where("sid <> first").select(*_pair("sid", "first"))
+    edges = links(first.select("fp"), radius, cell)
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in ("child", "parent"))
+    apart = edges.join(a, "child").join(b, "parent").select(*_pair("_child", "_parent"))
+    found = stored(same.unionByName(apart).distinct(), "simhash")
+    dropped(first)
+    return found
+
+
 def tallied(held: dict[str, pa.Array], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of entries of one cell (id, n, label, band, bands, places, finer) that aren't in one component
     yet, are near enough in size and share enough bytes. Each step compares all with those some places on.
@@ -171,32 +200,35 @@ def shingle_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     ignored. rid is that of with_row_key() on scannable docs."""
     rows = with_row_key(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     made = stored(sketches(rows, words), "sketches")
-    entries = stored(made.groupBy("sid").agg(F.min_by(F.struct("rid", "n", "bands", "places"), "rid").alias("e")).select("sid", "e.*"), "entries", made.count())
+    entries = stored(made.groupBy("sid").agg(F.min_by(F.struct("rid", "n", "fp", "bands", "places"), "rid").alias("e")).select("sid", "e.*"), "entries", made.count())
     n_entries = entries.count()
     posts = entries.select("sid", "rid", "n", F.explode("bands").alias("cell"))
     several = posts.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1")
     shared = stored(posts.join(several, "cell"), "shared", BANDS * n_entries)
-    members = stored(shared.select("sid", "rid").distinct(), "members", n_entries)
+    close = simhash_pairs(entries.select("sid", "fp"), n_entries, cell=cell)
+    paired = close.select(F.explode(F.array("child", "parent")).alias("sid")).distinct()
+    members = shared.select("sid", "rid").unionByName(entries.select("sid", "rid").join(paired, "sid", "left_semi"))
+    members = stored(members.distinct(), "members", n_entries)
     sets = stored(whole_sets(rows.join(members.hint("merge"), "rid"), words), "sets")
     near = F.least("n", "head.n") * 5 >= F.greatest("n", "head.n") * 4
-    cells, tree, unsettled, turn, last = shared.withColumn("label", F.col("sid")), None, shared.count(), 0, False
-    while unsettled:
+    cells, tree, unsettled, turn, last = shared.withColumn("label", F.col("sid")), None, shared.count(), -1, False
+    while unsettled or turn < 0:
         if last:
             more = sets.join(cells.select("sid").distinct(), "sid", "left_semi")
             bytes_ = stored(entries.select("sid", "places", "bands").join(finer_table(more), "sid").withColumnRenamed("sid", "id"), "bytes", 8 * n_entries)  # wide rows
             posts = cells.select(F.col("cell").alias("post"), F.col("cell").alias("band"), F.col("sid").alias("id"), "n", "label").join(bytes_, "id")
             pairs = in_cells(posts, tallied, cell, GATHER)
-        else:
+        elif turn >= 0:
             some = cells
             if turn < FULLEST:
                 some = cells.groupBy("sid", "n", "label").agg(F.max_by("cell", F.struct("held", "cell")).alias("cell"))
             head = some.groupBy("cell").agg(F.min_by(F.struct("sid", "n", "label"), F.xxhash64("sid", F.lit(turn))).alias("head"))
             pairs = some.join(head, "cell").where((F.col("head.label") != F.col("label")) & near).select(*_pair("sid", "head.sid"))
-        some = stored(pairs.distinct(), "pairs", None if last else unsettled)
+        some = close if turn < 0 else stored(pairs.distinct(), "pairs", None if last else unsettled)
         found = stored(verified(some, sets), "links")
         # the tree has the components of all links so far
         before, tree = tree, components(found if tree is None else tree.unionByName(found))
-        dropped(some, found, *([before] if turn else []))
+        dropped(some, found, *([] if before is None else [before]))
         if last:
             break
         labelled = cells.join(tree.withColumnRenamed("child", "sid"), "sid", "left").select("cell", "held", "sid", "n", F.coalesce("parent", "sid").alias("label"))
@@ -208,9 +240,5 @@ def shingle_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
         was, unsettled, turn = unsettled, cells.count(), turn + 1
         last = turn > FULLEST and unsettled > (1 - SHARE) * was
     dropped(shared, members, sets, cells, entries)
-    roots = made.select("rid", "_key", "sid")
-    if tree is not None:
-        roots = roots.join(tree.withColumnRenamed("child", "sid"), "sid", "left").withColumn("root", F.coalesce("parent", "sid"))
-    else:
-        roots = roots.withColumn("root", F.col("sid"))
+    roots = made.select("rid", "_key", "sid").join(tree.withColumnRenamed("child", "sid"), "sid", "left").withColumn("root", F.coalesce("parent", "sid"))
     return roots.select("rid", F.col("_key").alias(key), "root")

@@ -49,6 +49,17 @@ def position_triples() -> list[tuple[int, ...]]:
 POSITIONS = position_triples()
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, lowest first."""
+    held = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    return np.unpackbits(held, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The number whose bits are those that over half of n hashes have."""
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """64 bits; bit i is 1 if it is set in over half of the shingles' hashes. No word: 0."""
     seen = text.lower().split()
@@ -63,9 +74,8 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(first), _SLICE):
         a, b = first[i : i + _SLICE].tolist(), last[i : i + _SLICE].tolist()
-        hashes = np.array([digest(joined[x:y], SEED) for x, y in zip(a, b)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(first), bitorder="little").view("<u8")[0])
+        ones += bit_counts(np.array([digest(joined[x:y], SEED) for x, y in zip(a, b)], dtype="<u8"))
+    return majority(ones, len(first))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:

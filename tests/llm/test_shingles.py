@@ -114,3 +114,35 @@ def test_stage_takes_out_a_copy_beyond_four_bits(spark):
     far = [f"x{i}" if i % 20 == 10 else x for i, x in enumerate(w)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((w, copy, far))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def test_simhash_pairs_against_all_pairs(spark):
+    texts, rng = near_copies(), random.Random(7)
+    long = [f"w{i}" for i in range(600)]
+    texts += [" ".join([*long[:i], "x", *long[i + 1 :]]) for i in rng.sample(range(600), 12)]
+    sets = [shingles.shingle_set((t or "").encode(), 5) for t in texts]
+    plain = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s.tolist()) > len(s)) for s in sets]
+    assert [shingles.set_fingerprint(s) % (1 << 64) for s in sets] == plain
+    rows = [(i, shingles.set_fingerprint(s)) for i, s in enumerate(sets)]
+    for cell in (2048, 4):
+        pairs = shingles.simhash_pairs(spark.createDataFrame(rows, "sid long, fp long"), len(rows), cell=cell).collect()
+        got, want = list(range(len(rows))), list(range(len(rows)))
+        near = [(i, j) for i, j in combinations(range(len(rows)), 2) if (plain[i] ^ plain[j]).bit_count() <= 4]
+        for root, edges in ((got, [(r["parent"], r["child"]) for r in pairs]), (want, near)):
+            for _ in range(len(rows)):
+                for i, j in edges:
+                    root[i] = root[j] = min(root[i], root[j])
+        assert got == want and len(set(got)) < len(rows) - 12
+        assert all(r["parent"] < r["child"] for r in pairs)
+
+
+def test_stage_links_by_simhash_fingerprints(spark, monkeypatch):
+    """Without any posting of min-hashes, near copies of four bits or fewer are linked; what SimHash puts
+    together at a lower similarity is not."""
+    w = [f"w{i}" for i in range(600)]
+    copies = [" ".join([*w[:i], "x", *w[i + 1 :]]) for i in (50, 300, 420)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join(w), *copies, "other words are here now"])], "doc_id long, text string")
+    monkeypatch.setattr(shingles, "signature", lambda hashes: ([], b""))
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, "").collect()) == [0, 4]
+    monkeypatch.setattr(shingles, "set_fingerprint", lambda hashes: 0)  # all are put together
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, "").collect()) == [0, 4]
