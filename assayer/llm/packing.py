@@ -44,6 +44,8 @@ GROUPS = (12, 16, 24)
 DEAL = 1 << 16
 #: Words kept by a Python worker (by generations, as many again), and the longest word kept.
 CACHE, CACHED_BYTES = 300_000, 40
+#: Bytes of text whose words are told apart at once, and words whose ids are laid out at once.
+SLICE, EXPANDED = 4 << 20, 1 << 17
 #: Fixed value: the pre-tokenization pattern of the word vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of characters below this (Latin and its marks) are lower-cased letter by letter.
@@ -284,33 +286,41 @@ class WordIds:
         self.new.update((words[i], got[i]) for i in gaps if len(words[i]) <= CACHED_BYTES)
         return got
 
-    def texts(self, column: pa.Array) -> list[np.ndarray]:
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text. Words are cut and told apart for the whole column, so that each
-        distinct word is looked up once. Null is the empty text."""
+        distinct word is looked up once; ids are laid out for texts of about EXPANDED words (or one
+        text) at a time. Null is the empty text."""
         raw = pc.fill_null(column, "")
         # The library lower-cases after composing; A-Z may be lowered first unless a combining mark
         # (lead byte CC) or the text of a special token is about.
         binary = raw.cast(pa.binary())
         odd = pc.or_(pc.match_substring(binary, b"\xcc"), pc.match_substring(binary, b"<|"))
         cut = pc.ascii_split_whitespace(pc.if_else(odd, raw, pc.ascii_lower(raw)))
-        ends = np.diff(cut.offsets.to_numpy())
+        del raw, binary, odd
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
         coded = cut.flatten().dictionary_encode()
+        del cut
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         found = self.known(list(utf8_rows(coded.dictionary)))
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         pool = np.frombuffer(b"".join(found), dtype="<u4")
-        which = coded.indices.to_numpy()
-        many = size[which]
-        done = np.cumsum(many)
-        first = (np.cumsum(size) - size)[which]
-        total = int(done[-1]) if len(done) else 0
-        ids = pool[np.arange(total) + np.repeat(first - (done - many), many)]
-        upto = np.concatenate(([0], done))[np.concatenate(([0], np.cumsum(ends)))]
-        return [ids[x:y] for x, y in zip(upto.tolist(), upto[1:].tolist())]
+        begin = np.cumsum(size) - size
+        indices = coded.indices.to_numpy()
+        del found, coded
+        part = ends[:-1] // EXPANDED
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(edges, edges[1:]):
+            which = indices[ends[a] : ends[b]]
+            many = size[which]
+            done = np.concatenate(([0], np.cumsum(many)))
+            ids = pool[np.arange(done[-1]) + np.repeat(begin[which] - done[:-1], many)]
+            upto = done[ends[a : b + 1] - ends[a]].tolist()
+            yield from (ids[x:y] for x, y in zip(upto, upto[1:]))
 
     def ids(self, text: bytes) -> bytes:
-        return self.texts(pa.array([text.decode("utf-8", "replace")]))[0].tobytes()
+        return next(self.texts(pa.array([text.decode("utf-8", "replace")]))).tobytes()
 
 
 _loaded: dict[str, WordIds] = {}
@@ -328,7 +338,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         end = np.array([end_id], dtype="<u4")
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for whole in batches:
-            for b in sliced(whole, "_text"):
+            for b in sliced(whole, "_text", SLICE):
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for i, ids in enumerate(_loaded[path].texts(b.column("_text"))):
                     ids = np.append(ids, end)

@@ -214,3 +214,23 @@ def test_scores(spark, odd, none, odd_rows, monkeypatch):
     assert lattice.score_documents(none, PIECE, queries.LM_TRAIN).count() == 0
     untrained = lattice.score_documents(odd, PIECE, "false").collect()
     assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and r["held_out"] for r in untrained)
+
+
+def test_ids_are_laid_out_for_some_texts_at_a_time(monkeypatch):
+    import tracemalloc
+
+    own = packing.WordIds(WORD)
+    column = pa.array([f"one two three {i} " * 12_500 for i in range(30)] + [None, "", "x"])
+    want = [own.ids(f"one two three {i} ".encode() * 12_500) for i in range(30)] + [b"", b"", own.ids(b"x")]
+    tracemalloc.start()
+    try:
+        total = sum(len(ids) for ids in own.texts(column))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == sum(map(len, want)) // 4 and peak < 24 * total  # several arrays of 8 bytes an id otherwise
+    for n in (1, 60_000, 1 << 30):
+        monkeypatch.setattr(packing, "EXPANDED", n)
+        assert [ids.tobytes() for ids in own.texts(column)] == want
+        assert [ids.tobytes() for ids in own.texts(column.slice(3, 29))] == want[3:32]
+        assert list(own.texts(column.slice(0, 0))) == []
