@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import GENERAL, is_verbatim, strip
+from ..storage import stored
 
 #: Closed vocabularies of the data model.
 CATEGORIES = ["concurrency", "data", "contracts", "resilience", "architecture", "operability", "security", "authorization", "injection", "traversal"]
@@ -143,12 +144,14 @@ def validate_verdicts(traces: DataFrame, claims: DataFrame, verdicts: DataFrame,
 
 
 def strict(checked: DataFrame) -> DataFrame:
-    """The rows, or an error with the first violation."""
-    return checked.withColumn("valid", F.when(F.col("valid"), True).otherwise(F.raise_error(F.col("violations")[0])))
+    """The rows, or an error with the first violation. They are written, as in quarantine()."""
+    return stored(checked.withColumn("valid", F.when(F.col("valid"), True).otherwise(F.raise_error(F.col("violations")[0]))), "strict")
 
 
 def quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, invalid rows with their violations)."""
+    """(valid rows, invalid rows with their violations). The rows are written first: a filter on valid would
+    move below what it is made of, which then is made anew wherever a rule names it, and on either side."""
+    checked = stored(checked, "checked")
     return checked.where("valid").drop("violations", "valid"), checked.where(~F.col("valid"))
 
 

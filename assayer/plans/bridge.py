@@ -20,12 +20,20 @@ A, B = "m0", "m1"
 DRAWS = inference.DRAWS
 #: Passages (16 bytes each) that are broadcast to look for.
 LEADS = 1_000_000
+#: Rows that are dealt out to a task.
+ROWS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(scan: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
+    """A plain scan dealt out by a key into parts of so many rows, so that what a task holds doesn't grow
+    with the table. Adaptive execution joins parts by their compressed bytes, but leaves a given number."""
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // rows)), key)
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 

@@ -21,6 +21,9 @@ from ..storage import folder
 from . import bridge
 from .bridge import rounded, table
 
+#: Golds (some 0.2 ms each) of a task.
+GOLDS = 1 << 14
+
 
 def _text(*parts: Column | str) -> Column:
     """Texts and columns one after another; str is literal."""
@@ -95,7 +98,7 @@ def line_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def made_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """directory, gold (JSON): parts as golds; every rule has golds that break it."""
     k = F.col("p_partkey")
-    own = table(spark, sf_dir, "part").select(k.alias("k")).distinct()
+    own = bridge.dealt(table(spark, sf_dir, "part").select(k.alias("k")), "k", GOLDS).distinct()
     k, where = F.col("k"), _text("t", F.col("k"))
     pairs = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
     source = (
@@ -356,7 +359,7 @@ def loaded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     diff = _text("diff --git a/", path, " b/", path, "\n--- a/", path, "\n+++ b/", path, "\n@@ -1,1 +1,1 @@\n-old\n+new ", F.col("name"), "\n")
     rows = contracts.validate_gold(r.select(_text("t00", F.col("k"), "-x").alias("directory"), gold.alias("gold"), diff.alias("diff"), _text("About ", F.col("name"), "\n").alias("context"), F.lit("clean").alias("status"), F.lit("p").alias("parent")))
     root = _on_driver(folder(spark, "tasks"))
-    write_folders(rows.where("valid").withColumn("id", F.col("directory")).drop("valid", "violations"), root)
+    write_folders(contracts.quarantine(rows)[0].withColumn("id", F.col("directory")), root)
     loaded = tasks.load_tasks(spark, root).join(tasks.task_meta(spark, root).withColumnRenamed("directory", "task_id"), "task_id")
     one = F.col("gold.defects")[0]
     return loaded.select("task_id", F.array_join("file_list", ",").alias("files"), F.sha2("prompt", 256).alias("prompt_sha256"), F.trim(one["file"]).alias("file"), F.array_join(one["lines"], ",").alias("lines"), one["rationale"].alias("rationale"), "status", "parent", "generator")

@@ -19,7 +19,8 @@ def checked(subtasks: DataFrame) -> DataFrame:
     """subtasks (id, gold, ...) with violations and valid of their golds."""
     keys = ["id", "violations", "valid"]
     result = validate_gold(subtasks.select("id", F.col("id").alias("directory"), gold_json(F.col("gold")).alias("gold"))).select(keys)
-    return subtasks.join(result, "id")
+    # written, so that a filter on valid doesn't move below the rules
+    return subtasks.join(stored(result, "rules"), "id")
 
 
 def write_subtasks(subtasks: DataFrame, out: str) -> None:

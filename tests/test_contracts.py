@@ -2,6 +2,7 @@ import copy
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import contracts
 
@@ -75,6 +76,19 @@ def test_gold(spark):
         contracts.strict(checked.where("i = 2")).collect()
 
 
+def test_quarantine_reads_golds_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def said(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, d, json.dumps(g)) for i, (d, g) in enumerate([("t1", GOOD), ("t2", GOOD)])], "i int, directory string, text string")
+    good, bad = contracts.quarantine(contracts.validate_gold(rows.withColumn("gold", F.udf(said)("text")).drop("text")))
+    assert [r["i"] for r in good.collect()] == [0] and [r["i"] for r in bad.collect()] == [1]
+    assert seen.value == 2
+
+
 CLAIMS = [
     ([("c1", "a.py", "uses `x`  twice", "s"), ("c2", "general", "bad", "s")], None),
     ([("c2", "a.py", "bad", "s")], "c1, c2"),
