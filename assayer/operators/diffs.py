@@ -33,26 +33,30 @@ def parse(diffs: DataFrame, blank_is_context: bool = False) -> DataFrame:
     Lines before the first file and hunk, index lines, and body lines that look like file headers are
     skipped. Truly empty lines are skipped too, unless blank_is_context makes them context.
     """
-    lines = diffs.select("task_id", F.posexplode(F.split("diff", LINE_ENDS)).alias("at", "line"))
+    each = diffs.select("task_id", F.split("diff", LINE_ENDS).alias("lines"))
+    lines = each.select("task_id", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line"))
     if blank_is_context:
-        last = Window.partitionBy("task_id")
-        lines = lines.withColumn("line", F.when((F.col("line") == "") & (F.col("at") < F.max("at").over(last)), " ").otherwise(F.col("line")))
+        lines = lines.withColumn("line", F.when((F.col("line") == "") & (F.col("at") < F.col("n") - 1), " ").otherwise(F.col("line")))
     starts = lambda *p: F.regexp_like("line", F.lit("^(?:" + "|".join(p) + ")"))
-    is_file, is_hunk = starts("diff --git "), starts("@@")
+    rows = lines.select("task_id", "at", "line", starts("diff --git ").alias("is_file"), starts("@@").alias("is_hunk"))
+    # two sorts carry all windows; a file without a hunk yet has an empty header
     upto = Window.partitionBy("task_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_file = Window.partitionBy("task_id", "file_no").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumn("file_no", F.sum(F.when(is_file, 1).otherwise(0)).over(upto)).withColumn("path", F.last(F.when(is_file, git_path(F.col("line"))), True).over(upto))
-    rows = rows.withColumn("in_file", F.sum(F.when(is_hunk, 1).otherwise(0)).over(in_file)).withColumn("header", F.last(F.when(is_hunk, F.col("line")), True).over(in_file))
-    # a path that has several sections numbers its hunks on
-    of_path = Window.partitionBy("task_id", "path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("hunk_no", F.sum(F.when(is_hunk, 1).otherwise(0)).over(of_path))
+    path = F.last(F.when(F.col("is_file"), git_path(F.col("line"))), True).over(upto)
+    header = F.last(F.when(F.col("is_file"), "").when(F.col("is_hunk"), F.col("line")), True).over(upto)
+    rows = rows.withColumns({"path": path, "header": header}).where("path IS NOT NULL AND NOT is_file AND header <> ''")
     prefix = F.substring("line", 1, 1)
-    body = (F.col("file_no") > 0) & (F.col("in_file") > 0) & ~is_file & ~is_hunk & ~starts(r"\+\+\+ ", "--- ", "index ") & prefix.isin(" ", "+", "-")
-    rows = rows.where(body).select(*HUNK, "at", "header", prefix.alias("prefix"), F.expr("substring(line, 2)").alias("text"))
+    is_line = ~F.col("is_hunk") & ~starts(r"\+\+\+ ", "--- ", "index ") & prefix.isin(" ", "+", "-")
+    rows = rows.select("task_id", "path", "at", "is_hunk", "header", F.when(is_line, prefix).alias("prefix"), F.expr("substring(line, 2)").alias("text")).where("is_hunk OR prefix IS NOT NULL")
     for i, name in enumerate(("old_start", "old_count", "new_start", "new_count"), 1):
-        rows = rows.withColumn(name, _number(F.col("header"), i))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(*HUNK).orderBy("at")) - 1)
-    return numbered(rows).drop("at", "header")
+        rows = rows.withColumn(name, F.when(~F.col("is_hunk"), _number(F.col("header"), i)))
+    # a path that has several sections numbers its hunks on
+    of_path = Window.partitionBy("task_id", "path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda *marks: F.count(F.when(F.col("prefix").isin(*marks), 1)).over(of_path)
+    rows = rows.drop("header").withColumns({"hunk_no": F.sum(F.when(F.col("is_hunk"), 1).otherwise(0)).over(of_path), "seen": F.struct(count(" ", "-", "+").alias("n"), count(" ", "-").alias("old"), count(" ", "+").alias("new"))})
+    rows = rows.withColumn("before", F.last(F.when(F.col("is_hunk"), F.col("seen")), True).over(of_path)).where("NOT is_hunk")
+    nth = lambda side: F.col(f"seen.{side}") - F.col(f"before.{side}") - 1
+    number = lambda side, mark: F.when(F.col("prefix").isin(" ", mark), F.col(f"{side}_start") + nth(side)).cast("int").alias(f"{side}_no")
+    return rows.select(*HUNK, "prefix", "text", "old_start", "old_count", "new_start", "new_count", nth("n").cast("int").alias("pos"), number("old", "-"), number("new", "+"))
 
 
 def numbered(rows: DataFrame, hunk: list[str] = HUNK) -> DataFrame:

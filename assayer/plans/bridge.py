@@ -28,10 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(scan: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
+def parts(scan: DataFrame, rows: int | None = None) -> int:
+    """How many parts of so many rows a plain scan makes; one for each core at least."""
+    return max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // (rows or ROWS)))
+
+
+def dealt(scan: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """A plain scan dealt out by a key into parts of so many rows, so that what a task holds doesn't grow
     with the table. Adaptive execution joins parts by their compressed bytes, but leaves a given number."""
-    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // rows)), key)
+    return scan.repartition(parts(scan, rows), key)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -157,11 +162,17 @@ def bootstrap_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.bootstrap(spark, rollouts(spark, sf_dir), A, B)
 
 
+def lineitems(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Lineitems as diff lines: key (the order), at (from 1), prefix, and what lines are made of. They
+    are dealt out under the key's new name, so that what follows is by the same key."""
+    by = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias(key), *by, "l_linestatus", _when("l_returnflag", {"N": " ", "R": "-", "A": "+"}).alias("prefix"))
+    return dealt(li, key).withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+
+
 def hunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitems as diff lines: an order is a hunk, its return flags are prefixes."""
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    rows = li.select(F.col("l_orderkey").alias("hunk"), (F.row_number().over(order) - 1).alias("pos"), _when("l_returnflag", {"N": " ", "R": "-", "A": "+"}).alias("prefix"), F.col("l_linestatus").alias("state"))
+    rows = lineitems(spark, sf_dir, "hunk").select("hunk", (F.col("at") - 1).alias("pos"), "prefix", F.col("l_linestatus").alias("state"))
     rows = rows.withColumn("old_start", (F.col("hunk") % 50 + 1).cast("int")).withColumn("new_start", (F.col("hunk") % 70 + 1).cast("int"))
     return diffs.numbered(rows, ["hunk"])
 
@@ -194,7 +205,13 @@ def line_span_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo = (F.col("o_custkey") % 5 + F.col("o_orderkey") % 70 + 1).cast("int")
     spans = o.select(F.col("o_orderkey").alias("task_id"), F.concat(F.lit("d"), (F.col("o_custkey") % 4 + 1).cast("string")).alias("defect_id"), F.lit("f").alias("path"), lo.alias("lo"), (lo + 3).alias("hi"))
     lines = diffs.positioned(hunk_lines(spark, sf_dir), ["hunk"]).withColumn("task_id", F.col("hunk")).withColumn("path", F.lit("f"))
-    return diffs.owners(lines, spans).select("hunk", "pos", "defect_id")
+    return owned(spark, sf_dir, lines, spans).select("hunk", "pos", "defect_id")
+
+
+def owned(spark: SparkSession, sf_dir: str, lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """owners() of lineitems as lines; both sides are dealt out as lineitems are."""
+    n = parts(table(spark, sf_dir, "lineitem"))
+    return diffs.owners(lines.repartition(n, "task_id", "path"), spans.repartition(n, "task_id", "path"))
 
 
 def gold_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:

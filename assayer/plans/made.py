@@ -45,11 +45,9 @@ def _numbers(n: Column) -> Column:
 def made_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task_id, diff: an order's lineitems as diff lines in two hunks, in one file or in one file each,
     with index lines, truly blank lines between hunks, and counts of one left out."""
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    k, h = F.col("l_orderkey"), F.when(F.col("l_linenumber") <= 3, 1).otherwise(2)
-    prefix = bridge._when("l_returnflag", {"N": " ", "R": "-", "A": "+"})
-    rows = li.select(k.alias("k"), h.alias("h"), F.row_number().over(order).alias("at"), prefix.alias("prefix"), _text(F.col("l_linestatus"), F.col("l_partkey") % 100).alias("line"))
+    li = bridge.lineitems(spark, sf_dir, "k")
+    k, h = F.col("k"), F.when(F.col("l_linenumber") <= 3, 1).otherwise(2)
+    rows = li.select("k", h.alias("h"), "at", "prefix", _text(F.col("l_linestatus"), F.col("l_partkey") % 100).alias("line"))
     count = lambda mark: F.count_if(F.col("prefix").isin(" ", mark))
     side = lambda start, n: F.when(n == 1, _text(start)).otherwise(_text(start, ",", n))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "prefix", "line"))), lambda x: F.concat(x["prefix"], x["line"])), "\n")
@@ -89,7 +87,7 @@ def line_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = o.select(F.col("o_orderkey").alias("task_id"), F.lit("f").alias("path"), lo.alias("lo"))
     spans = one.select("task_id", F.explode(F.array(*[F.struct(F.lit(d).alias("defect_id"), (F.col("lo") + a).alias("lo"), (F.col("lo") + a + 2).alias("hi")) for d, a in (("d1", 0), ("d2", 2), ("d3", 9))])).alias("x"), "path").select("task_id", "x.*", "path")
     lines = diffs.positioned(bridge.hunk_lines(spark, sf_dir), ["hunk"]).withColumns({"task_id": F.col("hunk"), "path": F.lit("f"), "hunk_no": F.lit(1)})
-    return diffs.conflicts(diffs.owners(lines, spans)).select("task_id", F.col("pos").cast("long").alias("pos"), F.array_join("defects", ",").alias("defects"))
+    return diffs.conflicts(bridge.owned(spark, sf_dir, lines, spans)).select("task_id", F.col("pos").cast("long").alias("pos"), F.array_join("defects", ",").alias("defects"))
 
 
 # contracts

@@ -144,3 +144,11 @@ def test_generate(spark, old, new, want):
     got = subtasks.generate(spark.createDataFrame([row], tasks.TEMPLATE)).first()
     assert got["diff"] == "diff --git a/f.py b/f.py\n--- a/f.py\n+++ b/f.py\n" + "\n".join(want) + "\n"
     assert got["gold"]["difficulty"] == "easy"
+
+
+def test_a_path_in_two_sections_counts_on(spark):
+    said = ["@@ -1 +1 @@ before any file", "+no", "diff --git a/a b/a", "+no", "@@ -1,2 +1,2 @@", " a", "-b", "+c", "@@ -9,0 +9 @@", "index 1..2", "diff --git a/b b/b", "@@ -5 +5 @@", "-x", "+++ b/b", "+y", "diff --git a/a b/a", "@@ -20 +30 @@", "", " z", "+w"]
+    rows = diffs.parse(spark.createDataFrame([("t", "\n".join(said))], "task_id string, diff string")).orderBy("path", "hunk_no", "pos")
+    got = [(r["path"], r["hunk_no"], r["pos"], r["prefix"], r["text"], r["old_no"], r["new_no"]) for r in rows.collect()]
+    assert got == [("a", 1, 0, " ", "a", 1, 1), ("a", 1, 1, "-", "b", 2, None), ("a", 1, 2, "+", "c", None, 2), ("a", 3, 0, " ", "z", 20, 30), ("a", 3, 1, "+", "w", None, 31), ("b", 1, 0, "-", "x", 5, None), ("b", 1, 1, "+", "y", None, 5)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3

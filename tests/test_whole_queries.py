@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from assayer.operators import inference
-from assayer.plans import bridge, oracle
+from assayer.plans import bridge, made, oracle
 
 SF = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -41,3 +41,12 @@ def test_seeded_bootstrap_has_the_operators_draws(spark, monkeypatch):
 
 
 test_seeded_bootstrap_has_the_operators_draws = there(test_seeded_bootstrap_has_the_operators_draws)
+
+
+@there
+@pytest.mark.parametrize("name", ["diff_parse", "diff_emit", "line_places", "line_span_ownership", "gold_anchor", "hunk_headers"])
+def test_tasks_dont_grow_with_the_lines(spark, monkeypatch, name):
+    monkeypatch.setattr(bridge, "ROWS", 500, raising=False)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    found = (bridge.queries() | made.queries())[name](spark, SF)
+    assert found.rdd.getNumPartitions() == -(-lines // 500) > 10
