@@ -281,7 +281,7 @@ def made_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task_id, diff, context, gold (struct): suppliers as tasks with four defects in three files; two of
     them share a hunk of c.py."""
     k = F.col("k")
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    s = bridge.dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", GOLDS)
     file = lambda p, hunk: _text(f"diff --git a/{p} b/{p}\nindex 1..2 100644\n--- a/{p}\n+++ b/{p}\n", hunk, "\n")
     a = _text("@@ -1,3 +1,3 @@\n keep\n-old = ", k, "\n+new = ", k, "\n tail")
     b = _text("@@ -10,2 +10,3 @@\n x\n+", F.when(k % 3 == 0, "call(1").otherwise("value = 2"), "\n y")

@@ -50,3 +50,11 @@ def test_tasks_dont_grow_with_the_lines(spark, monkeypatch, name):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     found = (bridge.queries() | made.queries())[name](spark, SF)
     assert found.rdd.getNumPartitions() == -(-lines // 500) > 10
+
+
+@there
+def test_tasks_are_checked_once(spark, monkeypatch):
+    monkeypatch.setattr(made, "GOLDS", 1, raising=False)
+    tasks = made.made_tasks(spark, SF)
+    assert tasks.where("task_id <> 't1'").count() == tasks.count() - 1
+    assert "from_json" not in tasks.where("task_id <> 't1'")._jdf.queryExecution().optimizedPlan().toString()
